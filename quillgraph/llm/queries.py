@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, media, mixing, topk
+from quillgraph.llm import bpe, media, mixing, near_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(spark, _documents(spark, sf_dir), n_words=4)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -27,5 +31,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_topk, op6_mixing, op7_media, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_exact_topk, op6_mixing, op7_media, op8_bpe)}
 SQL = {"op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}
