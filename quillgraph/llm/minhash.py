@@ -100,7 +100,7 @@ def _confirm(num: int, den: int):
 def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """keyed (id, n, keys) -> confirmed links (a, b), and the components (node, root) that they make.
 
-    n: the size of an id's set; keys: its band keys. sets_of(ids) gives (id, elements): sorted 64-bit elements as bytes.
+    n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit elements as bytes.
     Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket (the ids of a key)
     is never crossed with itself: its smallest ids are compared with the others that are not in the same component yet,
     4, 8, 16, ... in a round, and leave; a bucket is done once it lies within one component. So every pair of a bucket is
@@ -109,7 +109,7 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     entries = keyed.select("id", "n", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id < high")
     crowded = scratch.table(crowded.select("key", F.col("low.id").alias("p"), F.col("low.n").alias("p_n")))
-    members = scratch.table(entries.join(crowded, "key"))
+    members = scratch.table(entries.join(crowded, "key").distinct())
     sets = scratch.table(sets_of(members.select("id").distinct()))
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num  # noqa: E731  else the sizes alone rule the link out
     pairs = members.where(F.col("id") != F.col("p")).where(near(F.col("n"), F.col("p_n"))).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
