@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, media, mixing, near_dedup, topk
+from quillgraph.llm import bpe, media, mixing, near_dedup, paragraphs, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _documents(spark, sf_dir), n_words=4)
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(spark, _documents(spark, sf_dir))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -31,5 +35,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_exact_topk, op6_mixing, op7_media, op8_bpe)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(spark, _documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_paragraph_dedup, op4_exact_topk, op6_mixing, op7_media, op8_bpe, op10_suffix_dedup)}
 SQL = {"op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}
