@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, media, mixing, near_dedup, paragraphs, suffix_dedup, topk
+from quillgraph.llm import bpe, langid, media, mixing, near_dedup, paragraphs, quality, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, _documents(spark, sf_dir), n_words=4)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(spark, _documents(spark, sf_dir))
 
@@ -23,6 +27,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark, _documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,5 +47,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(spark, _documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_paragraph_dedup, op4_exact_topk, op6_mixing, op7_media, op8_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_paragraph_dedup, op4_exact_topk, op5_language_id, op6_mixing, op7_media, op8_bpe, op10_suffix_dedup)}
 SQL = {"op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}
