@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import bpe, langid, media, mixing, near_dedup, paragraphs, quality, suffix_dedup, topk
+from quillgraph.llm import bpe, html_text, langid, media, mixing, near_dedup, paragraphs, quality, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +43,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(spark, _documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_paragraph_dedup, op4_exact_topk, op5_language_id, op6_mixing, op7_media, op8_bpe, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_paragraph_dedup, op4_exact_topk, op5_language_id, op6_mixing, op7_media, op8_bpe, op9_html_text, op10_suffix_dedup)}
 SQL = {"op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}
