@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected
@@ -21,7 +21,10 @@ from quillgraph.llm.textbytes import U, mix
 _GOLDEN = 0x9E3779B97F4A7C15
 _STEP = U(_GOLDEN)
 _ELEMENTS = 200_000
-FIRST_PIVOTS = 4
+#: Elements are ordered by a table of at most 2 ** SKETCH_BITS counts of 4 bytes, whatever the input's size.
+SKETCH_BITS = 22
+#: So many ids (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def _step(i: int) -> np.uint64:
@@ -97,44 +100,101 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _slots(bits: int):
+    """How often each slot (the low bits of an element) occurs in the sets of a batch."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), U) for x in batch.column("elements")]
+            slot, n = np.unique(np.concatenate(found) & U((1 << bits) - 1) if found else np.zeros(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    return run
+
+
+def _prefixes(counts, bits: int, num: int, den: int):
+    """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity."""
+
+    def run(batches):
+        often = counts.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                element, place, size = [], [], []
+                for x in part.column("elements"):
+                    x = np.frombuffer(x.as_buffer(), U)
+                    n = len(x) - -(-num * len(x) // den) + 1
+                    element.append(x[np.lexsort((x, often[(x & U((1 << bits) - 1)).astype(np.int64)]))[:n]])
+                    place.append(np.arange(n))
+                    size.append(np.full(n, len(x)))
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in element]))
+                flat = [np.concatenate(c) if c else np.zeros(0) for c in (element, place, size)]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], names=["id", "part", "element", "place", "size"])
+
+    return run
+
+
+def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets (id, part, elements) -> pairs (a, b) of different parts, among them all that can be linked.
+
+    Linked sets x and y share at least o = num / (num + den) of |x| + |y| elements, so in any common order the first
+    |x| - o + 1 of x and the first |y| - o + 1 of y have one in common. The order is by how often an element's slot
+    occurs, rare ones first: what a large group has in common comes last. Of an element most of whose sets lie in one
+    part, only the other sets are compared with all: nothing is paired within a part.
+    """
+    spark = sets.sparkSession
+    total = max(sets.agg(F.sum(F.length("elements"))).first()[0] or 0, 8) // 8
+    bits = min(max(int(total).bit_length(), 12), SKETCH_BITS)
+    often = np.zeros(1 << bits, np.int64)
+    for batch in sets.select("elements").mapInArrow(_slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
+        often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32))
+    rows = scratch.table(sets.mapInArrow(_prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int"))
+    common = rows.groupBy("element", "part").count().groupBy("element").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"))
+    common = scratch.table(common.where("parts > 1").select("element", F.col("m.part").alias("main")))
+    rows = scratch.table(rows.join(common, "element"))
+    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size")])
+    o = F.ceil((F.col("size") + F.col("x_size")) * num / (num + den))
+    fits = (F.col("place") <= F.col("size") - o) & (F.col("x_place") <= F.col("x_size") - o) & (F.least("size", "x_size") * den >= F.greatest("size", "x_size") * num)
+    reach = F.least("place", "x_place") + F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place")) >= o
+    met = x.join(rows, "element").where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id"))) & fits & reach)
+    return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
+
+
 def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """keyed (id, n, keys) -> confirmed links (a, b), and the components (node, root) that they make.
 
-    n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit elements as bytes.
-    Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket (the ids of a key)
-    is never crossed with itself: its smallest ids are compared with the others that are not in the same component yet,
-    4, 8, 16, ... in a round, and leave; a bucket is done once it lies within one component. So every pair of a bucket is
-    either compared or already joined by other links, and a bucket of mutual copies takes one round.
+    n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit
+    elements as bytes. Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket
+    (the ids of a key) is never crossed with itself: first all are compared with its smallest id. Buckets that lie
+    within one component are done then. Of the others, sets of different components are compared if they share one of
+    their rarest elements, which linked sets always do. So no link between components is lost, and a group of
+    near-copies costs one comparison each, not one a pair.
     """
     entries = keyed.select("id", "n", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id < high")
     crowded = scratch.table(crowded.select("key", F.col("low.id").alias("p"), F.col("low.n").alias("p_n")))
     members = scratch.table(entries.join(crowded, "key").distinct())
     sets = scratch.table(sets_of(members.select("id").distinct()))
-    near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num  # noqa: E731  else the sizes alone rule the link out
-    pairs = members.where(F.col("id") != F.col("p")).where(near(F.col("n"), F.col("p_n"))).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    members = members.select("key", "id", "n", (F.col("id") == F.col("p")).alias("used"))
-    tried = None
-    pivots = FIRST_PIVOTS
-    while True:
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        with_x = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-        with_y = with_x.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-        found = scratch.table(with_y.select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long, linked boolean"))
-        tried = found if tried is None else tried.union(found)
-        linked = tried.where("linked").select("a", "b")
-        roots = connected(scratch, linked)
-        named = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", "n", "used", F.coalesce("root", "id").alias("part"))
-        named = scratch.table(named)
-        split = scratch.table(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("used").alias("done")).where("lo < hi AND NOT done").select("key"))
-        members = scratch.table(named.where("NOT used").join(split, "key"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        first = scratch.table(members.withColumn("rank", rank).where(F.col("rank") <= pivots).select("key", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("part").alias("a_part")))
-        if first.isEmpty():
-            return linked, roots
-        met = members.join(first, "key").where("a < id AND a_part <> part").where(near(F.col("n"), F.col("a_n")))
-        pairs = scratch.table(met.select("a", F.col("id").alias("b")).distinct())
-        chosen = first.select("key", F.col("a").alias("id"), F.lit(True).alias("chosen"))
-        members = scratch.table(members.join(chosen, ["key", "id"], "left").select("key", "id", "n", F.coalesce("chosen", F.lit(False)).alias("used")))
-        pivots = min(2 * pivots, 512)
+    near = F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num  # else the sizes alone rule the link out
+    pairs = members.where(near & (F.col("id") != F.col("p"))).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    linked = _confirmed(scratch, pairs, sets, num, den)
+    named = members.select("key", "id").join(connected(scratch, linked), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    named = scratch.table(named)
+    split = scratch.table(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
+    left = named.join(split, "key").select("id", "part").distinct()
+    more = _prefix_pairs(scratch, scratch.table(sets.join(left, "id")), num, den)
+    linked = linked.unionAll(_confirmed(scratch, scratch.table(more), sets, num, den))
+    return linked, connected(scratch, linked)
+
+
+def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough."""
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+    found = met.select("a", "b", "x", "y").mapInArrow(_confirm(num, den), "a long, b long, linked boolean")
+    return scratch.table(found.where("linked").select("a", "b"))
+
+
+def only(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """docs whose column is among ids (a written table of its own), by a broadcast if these are BROADCAST_IDS at most."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")

@@ -60,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, num:
     classes = scratch.table(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("id"), F.col("c.n").alias("n"), F.col("c.keys").alias("keys")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+        texts = minhash.only(docs.select(F.col("doc_id").alias("id"), "text"), scratch.table(ids), "id")
         return texts.mapInArrow(_elements(n_words), "id long, elements binary").dropDuplicates(["id"])
 
     _, roots = minhash.links(scratch, classes.select("id", "n", "keys"), sets_of, num, den)
