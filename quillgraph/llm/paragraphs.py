@@ -112,8 +112,11 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     keyed = scratch.table(docs.mapInArrow(_keys, "id long, n long, keys array<long>"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        holders = scratch.table(lines.groupBy("id").agg(F.min("doc_id").alias("doc_id"))).join(ids, "id", "left_semi")
+        ids = scratch.table(ids)
+        holders = lines.join(ids, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         wanted = holders.groupBy("doc_id").agg(F.collect_list("id").alias("wanted"))
+        if ids.count() <= minhash.BROADCAST_IDS:  # wanted holds each id once
+            wanted = F.broadcast(wanted)
         return docs.join(wanted, "doc_id").mapInArrow(_sets, "id long, elements binary").dropDuplicates(["id"])
 
     _, roots = minhash.links(scratch, keyed, sets_of, num, den)
