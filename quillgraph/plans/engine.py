@@ -107,7 +107,7 @@ class Engine:
         cut = context.truncate_context(context.context_lines(*tables), options.budgets)
         rows = asked.join(cut.select("query_id", "context"), "query_id", "left")
         writer = self.writer
-        reply = F.udf(lambda q, c: writer.answer(q, c), "string")
+        reply = F.udf(lambda q, c: None if c is None else writer.answer(q, c), "string")
         answer = F.when(F.col("context").isNull(), NO_ANSWER).otherwise(F.lit("") if options.only_context else reply("text", "context"))
         out = scratch.table(rows.select("query_id", answer.alias("response"), "context"))
         if not options.with_references:
