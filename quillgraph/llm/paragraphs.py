@@ -1,7 +1,8 @@
 """Repeated paragraphs: MinHash banding tuned for recall, exact Jaccard, removals by components.
 
 A paragraph is a line that has a word. Equal shingle sets are one class. Sets of fewer than four shingles reach a
-similarity of 0.8 only when equal, so only the others are banded.
+similarity of 0.8 only when equal, so only the others are banded. For passages that stand in the middle of a line, the
+sentences of lines are units too; these count as alike only when their words are equal.
 """
 
 from __future__ import annotations
@@ -14,40 +15,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash
+from quillgraph.llm.suffix_dedup import without_spans
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, shingles, words
+from quillgraph.llm.textbytes import _SPACE, chunks, run_hashes, shingles, words
 
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
 N_WORDS = 5
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8 ** 3) ** 16, 1 in 100 000.
 BANDS, ROWS = 16, 3
-#: Lines that repeat, one after another, are a passage from so many words on; shorter ones are left alone.
-LEAST_WORDS = 50
+#: Units that repeat, one after another, are a passage from so many words on; shorter ones are left alone. It is less
+#: than 50, as a passage of 50 words put into a line shares its first and last sentence with that line's own words.
+LEAST_WORDS = 40
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray):
-    """For lines with a word: text, bounds of the first and last word, number of words; owner and hashes of their shingles; a 64-bit digest of each set."""
+def _units(data: np.ndarray, offsets: np.ndarray, sentences: bool):
+    """Lines (or sentences) that have a word: the text, first word and number of words of each; and all words: first bytes, ends, hashes."""
     breaks = np.flatnonzero(data == 10) + 1
+    if sentences:
+        breaks = np.concatenate([breaks, np.flatnonzero(_STOP[data[:-1]] & _SPACE[data[1:]]) + 1])
     at = np.unique(np.concatenate([offsets, breaks]))
     starts, ends, hashes = words(data, at, lower=True)
-    line = np.searchsorted(at, starts, "right") - 1
-    number, first, size = np.unique(line, return_index=True, return_counts=True)
-    line = np.repeat(np.arange(len(number)), size)
-    owner, found = shingles(hashes, line, N_WORDS)
-    count = np.bincount(owner, minlength=len(number))
+    unit = np.searchsorted(at, starts, "right") - 1
+    _, first, size = np.unique(unit, return_index=True, return_counts=True)
+    text = np.searchsorted(offsets, starts[first], "right") - 1
+    return text, first, size, starts, ends, hashes
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray):
+    """_units() of lines, and owner and hashes of their shingles, how many each has, and a 64-bit digest of each set."""
+    text, first, size, starts, ends, hashes = _units(data, offsets, False)
+    owner, found = shingles(hashes, np.repeat(np.arange(len(first)), size), N_WORDS)
+    count = np.bincount(owner, minlength=len(first))
     stop = np.cumsum(count)
     ids = np.array([int.from_bytes(hashlib.md5(found[e - s : e].tobytes()).digest()[:8], "little", signed=True) for s, e in zip(count.tolist(), stop.tolist())], np.int64)
-    begin, end = starts[first], ends[first + size - 1]
-    text = np.searchsorted(offsets, begin, "right") - 1
-    return text, begin, end, size, owner, found, count, ids
+    return text, first, size, starts, ends, owner, found, count, ids
+
+
+_UNIT = "doc_id long, word long, words long, begin long, end long, id long"
+
+
+def _rows(batch, data, offsets, text, first, size, starts, ends, ids):
+    """Units with their place among the words of their text, and in code points."""
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = letters[offsets[text]]
+    word = first - np.searchsorted(starts, offsets[:-1])[text]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(word), pa.array(size), pa.array(letters[starts[first]] - base), pa.array(letters[ends[first + size - 1]] - base), pa.array(ids)], names=["doc_id", "word", "words", "begin", "end", "id"])
 
 
 def _table(batches):
     for batch, data, offsets in chunks(batches, "text"):
-        text, begin, end, size, _, _, _, ids = _lines(data, offsets)
-        letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        base = letters[offsets[text]]
-        number = np.arange(len(text)) - np.searchsorted(text, text)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(number), pa.array(size), pa.array(letters[begin] - base), pa.array(letters[end] - base), pa.array(ids)], names=["doc_id", "line", "words", "begin", "end", "id"])
+        text, first, size, starts, ends, _, _, _, ids = _lines(data, offsets)
+        yield _rows(batch, data, offsets, text, first, size, starts, ends, ids)
+
+
+def _sentences(batches):
+    """Sentences that are less than a line."""
+    for batch, data, offsets in chunks(batches, "text"):
+        text, first, size, starts, ends, hashes = _units(data, offsets, True)
+        _, whole, length, *_ = _units(data, offsets, False)
+        part = ~(np.isin(first, whole) & np.isin(first + size, whole + length))
+        first, size = first[part], size[part]
+        yield _rows(batch, data, offsets, text[part], first, size, starts, ends, run_hashes(hashes, first, first + size).view(np.int64))
 
 
 def _keys(batches):
@@ -64,7 +93,7 @@ def _keys(batches):
 
 def _sets(batches):
     for batch, data, offsets in chunks(batches, "text"):
-        text, _, _, _, owner, found, _, ids = _lines(data, offsets)
+        text, _, _, _, _, owner, found, _, ids = _lines(data, offsets)
         asked = [set(x) for x in batch.column("wanted").to_pylist()]
         wanted = np.array([i in asked[t] for i, t in zip(ids.tolist(), text.tolist())], bool)
         place = np.cumsum(wanted) - 1
@@ -72,43 +101,44 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), minhash.binaries(place[owner[some]], found[some], int(wanted.sum()))], names=["id", "elements"])
 
 
-_RUN = "doc_id long, begin long, end long, n_words long, n_lines long, first_doc_id long, removed boolean, removals array<struct<begin:long,end:long>>"
+_RUN = "doc_id long, begin long, end long, n_words long, first_doc_id long, removed boolean, removals array<struct<begin:long,end:long>>"
 
 
 def _runs(batches):
-    """Runs of neighbouring repeated lines of each document, of LEAST_WORDS words or more."""
+    """Passages of LEAST_WORDS words or more that repeated units of each document cover without a gap."""
     for batch in batches:
         rows = []
-        for doc_id, lines in zip(batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()):
+        for doc_id, units in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist()):
             run: list[dict] = []
-            for line in [*sorted(lines, key=lambda x: x["line"]), None]:
-                if line and run and line["line"] == run[-1]["line"]:
+            reach = 0
+            for unit in [*sorted(units, key=lambda u: (u["word"], -u["words"])), None]:
+                if unit and run and unit["word"] <= reach:
+                    run.append(unit)
+                    reach = max(reach, unit["word"] + unit["words"])
                     continue
-                if line and run and line["line"] == run[-1]["line"] + 1:
-                    run.append(line)
-                    continue
-                if run and (n := sum(x["words"] for x in run)) >= LEAST_WORDS:
-                    gone = [{"begin": x["begin"], "end": x["end"]} for x in run if x["first"] != doc_id]
-                    rows.append((doc_id, run[0]["begin"], run[-1]["end"], n, len(run), min(x["first"] for x in run), bool(gone), gone))
-                run = [line]
-        kinds = [*[pa.int64()] * 6, pa.bool_(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+                if run and reach - run[0]["word"] >= LEAST_WORDS:
+                    gone = [{"begin": b, "end": e} for b, e in sorted({(u["begin"], u["end"]) for u in run if u["first"] != doc_id})]
+                    rows.append((doc_id, run[0]["begin"], max(u["end"] for u in run), reach - run[0]["word"], min(u["first"] for u in run), bool(gone), gone))
+                if unit:
+                    run, reach = [unit], unit["word"] + unit["words"]
+        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
         columns = list(zip(*rows)) or [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "begin", "end", "n_words", "n_lines", "first_doc_id", "removed", "removals"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "begin", "end", "n_words", "first_doc_id", "removed", "removals"])
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, begin, end, n_words, n_lines, first_doc_id, removed, removals: a row for each passage of repeated lines.
+    """docs (doc_id, text) -> doc_id, begin, end, n_words, first_doc_id, removed, removals: a row for each passage of repeated lines and sentences.
 
     Lines are alike if shared / union of their 5-word shingle sets (A-Z in lower case; of fewer words, the sequence as
-    one) is num / den or more; likeness is passed on within components. A line repeats if its component has lines of two
-    documents. A passage is a run of neighbouring repeated lines with 50 words or more together; lines without a word do
-    not part them. removals: the lines whose component begins in a smaller document, first_doc_id the smallest of the
-    documents where the lines begin; removed: there are any. begin and end are code points. Null text or doc_id: no row.
+    one) is num / den or more; likeness is passed on within components. Sentences that are less than a line are alike if
+    their words are equal. A unit repeats if two documents have ones alike. A passage is what repeated units cover without
+    a gap, of LEAST_WORDS words or more. removals: the units that a smaller document has, first_doc_id the smallest of the
+    documents where the units begin; removed: there are any. begin and end are code points. Null text or doc_id: no row.
     Rows of one doc_id do not repeat one another. No rows: no rows. Other columns are dropped.
     """
     scratch = Scratch(spark, "paragraphs")
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = scratch.table(docs.mapInArrow(_table, "doc_id long, line long, words long, begin long, end long, id long"))
+    lines = scratch.table(docs.mapInArrow(_table, _UNIT))
     keyed = scratch.table(docs.mapInArrow(_keys, "id long, n long, keys array<long>"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -125,5 +155,13 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     named = scratch.table(named.select("id", "part", "low", "high"))
     parts = scratch.table(named.groupBy("part").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("part", "first"))
     again = scratch.table(named.join(parts, "part").select("id", "first"))
-    repeated = lines.join(again, "id").groupBy("doc_id").agg(F.collect_list(F.struct("line", "words", "begin", "end", "first")).alias("lines"))
-    return repeated.mapInArrow(_runs, _RUN)
+    held = docs.mapInArrow(_sentences, _UNIT)
+    twice = scratch.table(held.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("id", "first"))
+    repeated = lines.join(again, "id").unionByName(held.join(F.broadcast(twice) if twice.count() <= minhash.BROADCAST_IDS else twice, "id"))
+    return repeated.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).mapInArrow(_runs, _RUN)
+
+
+def cut_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without the units that a smaller document has, as far as they are part of a passage; see repeated_paragraphs() and suffix_dedup.without_spans()."""
+    spans = repeated_paragraphs(spark, docs).where("removed").select("doc_id", F.explode("removals").alias("s")).select("doc_id", "s.begin", "s.end")
+    return without_spans(spark, docs, spans)

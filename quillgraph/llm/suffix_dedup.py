@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillgraph.sources.scratch import Scratch
 from quillgraph.llm.textbytes import U, chunks, run_hashes, text_of, words
@@ -180,15 +181,19 @@ def _cut(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
+def without_spans(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs without the spans (doc_id, begin, end) of their texts, which may overlap; n_chars, if there, follows the text. Documents of which no word is left go. All other rows and columns are kept as they are."""
+    kept = [f"row.`{c}`" for c in docs.columns]
+    gone = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(Scratch(spark, "cuts").table(gone), F.col("row.doc_id") == F.col("id"), "left")
+    cut = F.pandas_udf(lambda texts, spans: texts.combine(spans, _cut), StringType())
+    rest = rows.where("spans IS NOT NULL AND row.text IS NOT NULL").withColumn("row", F.col("row").withField("text", cut("row.text", "spans"))).where(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)))
+    return rows.where("spans IS NULL OR row.text IS NULL").select(kept).unionAll(rest.select(kept))
+
+
 def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the passages that a document of a smaller doc_id already has; n_chars, if there, follows the text. Documents of which no word is left go. All other rows and columns are kept as they are."""
-    kept = docs.columns
-    gone = repeated_passages(spark, docs).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
-    gone = Scratch(spark, "cuts").table(gone)
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    cut = F.pandas_udf(lambda texts, spans: texts.combine(spans, lambda t, s: t if t is None or s is None else _cut(t, s)), "string")
-    same = joined.where("_spans IS NULL").select(kept)
-    other = joined.where("_spans IS NOT NULL").withColumn("text", cut("text", "_spans")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in kept:
-        other = other.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionAll(other.select(kept))
+    """docs without the passages that a document of a smaller doc_id already has; see without_spans()."""
+    return without_spans(spark, docs, repeated_passages(spark, docs).where("removed").select("doc_id", "begin", "end"))
