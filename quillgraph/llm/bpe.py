@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CACHED_WORDS = 300_000
 TEXTS_AT_ONCE = 512
@@ -302,7 +304,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
     """df with a column of the text that the ids stand for. Null ids: empty text."""
     path = vocabulary or default_vocabulary()
     rest = [c for c in df.columns if c != text]
-    schema = df.select(rest).schema.add(text, "string")
+    schema = StructType([*[df.schema[c] for c in rest], StructField(text, StringType())])
 
     def run(batches):
         c = codec(path)
@@ -320,12 +322,11 @@ def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None)
 
 
 def _map(docs: DataFrame, text: str, columns: dict[str, pa.DataType], added: str, row, vocabulary: str | None, keep_text: bool = True) -> DataFrame:
-    from pyspark.sql.types import StructType
-
     path = vocabulary or default_vocabulary()
     rest = [c for c in docs.columns if c not in columns and (keep_text or c != text)]
-    schema = StructType([*docs.select(rest).schema.fields, *StructType.fromDDL(added).fields])
-    docs = docs.select(*[c for c in rest if c != text], text)
+    rest = [text] * (text in rest) + [c for c in rest if c != text]
+    docs = docs.select([F.col(f"`{c}`") for c in [text, *[c for c in rest if c != text]]])
+    schema = StructType([*[docs.schema[c] for c in rest], *StructType.fromDDL(added).fields])
 
     def run(batches):
         c = codec(path)

@@ -21,7 +21,7 @@ from quillgraph.llm.textbytes import _LOWER, chunks
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: At most about so many labelled texts in all, as many of each language as may be, and so many windows of each.
 SAMPLE_TEXTS, WINDOWS_PER_TEXT = 3000, 3
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 300, 64, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -82,7 +82,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     weight = (len(y) / np.maximum(np.bincount(y, minlength=len(languages)), 1) / len(languages))[y]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(x), 1)))):
         for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             step += 1
             xb, k = x[part], np.arange(len(part))

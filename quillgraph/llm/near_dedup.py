@@ -76,8 +76,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, n_words: int = 5, num: int =
     found = near_duplicates(spark, docs, n_words, num, den)
     gone = scratch.table(found.where("NOT kept").select("doc_id").distinct())
     twice = scratch.table(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    stay = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     if twice.isEmpty():
         return stay
-    one = stay.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return stay.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    one = stay.join(twice, stay["doc_id"] == twice["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(twice, stay["doc_id"] == twice["doc_id"], "left_anti").unionAll(one)
