@@ -61,7 +61,8 @@ def _best(score: np.ndarray, alive: np.ndarray, ids: np.ndarray, own, k: int) ->
         alive = np.flatnonzero(ids != own)
         score = score[alive]
     order = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive[order]], np.rint(score[order]).astype(np.int64)
+    best = score[order]
+    return ids[alive[order]], (np.rint(best) if best.dtype.kind == "f" else best).astype(np.int64)
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
