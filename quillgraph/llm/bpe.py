@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from quillgraph.llm.textbytes import lean
 
 CACHED_WORDS = 300_000
 TEXTS_AT_ONCE = 512
@@ -312,7 +313,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
             texts = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -336,5 +337,6 @@ def _map(docs: DataFrame, text: str, columns: dict[str, pa.DataType], added: str
                 found = [row(f) for f in c.encode_texts([t or "" for t in batch.column(text).to_pylist()])]
                 new = [pa.array(list(x), kind) for x, kind in zip(zip(*found), columns.values())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], *new], names=[*rest, *columns])
+        c.cache.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

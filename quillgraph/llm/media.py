@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.sources.scratch import Scratch
+from quillgraph.llm.textbytes import lean
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -105,7 +106,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
         task = TaskContext.get()
         shards, known = _Shards(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}"), {}
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
                 text = text or b""
@@ -116,11 +117,11 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
                     known[digest] = (*shards.add(f"{digest}.png", media), len(media))
                 rows.append((doc_id, digest, len(text), *known[digest]))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_bytes", "shard", "at", "length"])
         shards.close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _CATALOG)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _CATALOG)
 
 
 def places(catalog: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def _read(rows: DataFrame, folder: str, schema: str, size, use) -> DataFrame:
         if file is not None:
             file.close()
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields]))
+    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, *added.fields]))
 
 
 def header_columns(rows: DataFrame, folder: str) -> DataFrame:
