@@ -166,9 +166,10 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
 
     n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit
     elements as bytes. Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket
-    (the ids of a key) is never crossed with itself: first all are compared with its smallest id. Buckets that lie
-    within one component are done then. Of the others, sets of different components are compared if they share one of
-    their rarest elements, which linked sets always do. So no link between components is lost, and a group of
+    (the ids of a key) is never crossed with itself: first each id is compared with one, the smallest of all its buckets.
+    Buckets that lie within one component are done then. In the others, ids are compared with their bucket's smallest,
+    where that is in another component; and in those that still lie in several components, sets of different ones are
+    compared if they share one of their rarest elements, which linked sets always do. So no link between components is lost, and a group of
     near-copies costs one comparison each, not one a pair.
     """
     entries = keyed.select("id", "n", F.explode("keys").alias("key"))
@@ -177,17 +178,28 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     members = scratch.table(entries.join(crowded, "key").distinct())
     sets = scratch.table(sets_of(members.select("id").distinct()))
     near = F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num  # else the sizes alone rule the link out
-    pairs = members.where(near & (F.col("id") != F.col("p"))).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
-    linked = _confirmed(scratch, pairs, sets, num, den)
-    named = members.select("key", "id").join(connected(scratch, linked), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("part"))
-    named = scratch.table(named)
-    split = scratch.table(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
-    left = named.join(split, "key").select("id", "part").distinct()
+    pairs = members.where(near & (F.col("id") != F.col("p"))).select(F.col("p").alias("a"), F.col("id").alias("b"), "key")
+    first = scratch.table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    linked = _confirmed(scratch, first, sets, num, den)
+    roots, split = _apart(scratch, members, linked)
+    part = lambda c, name: (roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left")
+    second = pairs.join(split, "key").join(*part("a", "x")).join(*part("b", "y")).where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    second = scratch.table(second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
+    linked = linked.unionAll(_confirmed(scratch, second, sets, num, den))
+    roots, split = _apart(scratch, members, linked)
+    left = members.join(split, "key").select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("part"))
     more = _prefix_pairs(scratch, scratch.table(sets.join(left, "id")), num, den)
     linked = linked.unionAll(_confirmed(scratch, scratch.table(more), sets, num, den))
     return linked, connected(scratch, linked)
 
 
+def _apart(scratch: Scratch, members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links, and the keys whose buckets lie in more than one."""
+    roots = connected(scratch, linked)
+    named = members.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.coalesce("root", "id").alias("part"))
+    return roots, scratch.table(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
+
+
 def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough."""
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
