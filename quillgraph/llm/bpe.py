@@ -15,7 +15,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from quillgraph.llm.textbytes import lean
 
@@ -306,14 +305,15 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
     path = vocabulary or default_vocabulary()
     rest = [c for c in df.columns if c != text]
     schema = StructType([*[df.schema[c] for c in rest], StructField(text, StringType())])
+    place = {c: f"c{i}" for i, c in enumerate(df.columns)}
 
     def run(batches):
         c = codec(path)
         for batch in batches:
-            texts = [c.decode(x or []) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
+            texts = [c.decode(x or []) for x in batch.column(place[ids]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
 
-    return df.mapInArrow(lean(run), schema)
+    return df.toDF(*place.values()).mapInArrow(lean(run), schema)
 
 
 def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -326,17 +326,18 @@ def _map(docs: DataFrame, text: str, columns: dict[str, pa.DataType], added: str
     path = vocabulary or default_vocabulary()
     rest = [c for c in docs.columns if c not in columns and (keep_text or c != text)]
     rest = [text] * (text in rest) + [c for c in rest if c != text]
-    docs = docs.select([F.col(f"`{c}`") for c in [text, *[c for c in rest if c != text]]])
     schema = StructType([*[docs.schema[c] for c in rest], *StructType.fromDDL(added).fields])
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # mapInArrow takes no names with dots
+    used = dict.fromkeys([place[text], *[place[c] for c in rest]])
 
     def run(batches):
         c = codec(path)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 batch = whole.slice(at, TEXTS_AT_ONCE)
-                found = [row(f) for f in c.encode_texts([t or "" for t in batch.column(text).to_pylist()])]
+                found = [row(f) for f in c.encode_texts([t or "" for t in batch.column(place[text]).to_pylist()])]
                 new = [pa.array(list(x), kind) for x, kind in zip(zip(*found), columns.values())]
-                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in rest], *new], names=[*rest, *columns])
+                yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], *new], names=[*rest, *columns])
         c.cache.clear()
 
-    return docs.mapInArrow(lean(run), schema)
+    return docs.toDF(*place.values()).select(*used).mapInArrow(lean(run), schema)
