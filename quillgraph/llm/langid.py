@@ -133,7 +133,8 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
             x, owner, size = windows_of(data, offsets)
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             take = np.unique(np.concatenate([np.linspace(a, b - 1, WINDOWS_PER_TEXT).astype(np.int64) for a, b in zip(first[:-1], first[1:])])) if batch.num_rows else first[:0]
-            take = take[size[take] >= min(32, WINDOW)]
+            alone = np.diff(first)[owner[take]] == 1
+            take = take[(size[take] >= 32) | (alone & (size[take] > 0))]  # not the short rest of a longer text
             text = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(text), batch.column("lang").take(text), pa.array([w.tobytes() for w in x[take]], pa.binary())], names=["doc_id", "lang", "bytes"])
 
