@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
-from quillgraph.llm.textbytes import lean
+from quillgraph.llm.textbytes import mapped
 
 CACHED_WORDS = 300_000
 TEXTS_AT_ONCE = 512
@@ -313,7 +313,7 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
             texts = [c.decode(x or []) for x in batch.column(place[ids]).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
 
-    return df.toDF(*place.values()).mapInArrow(lean(run), schema)
+    return df.toDF(*place.values()).transform(mapped, run, schema)
 
 
 def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -340,4 +340,4 @@ def _map(docs: DataFrame, text: str, columns: dict[str, pa.DataType], added: str
                 yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], *new], names=[*rest, *columns])
         c.cache.clear()
 
-    return docs.toDF(*place.values()).select(*used).mapInArrow(lean(run), schema)
+    return docs.toDF(*place.values()).select(*used).transform(mapped, run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import lean
+from quillgraph.llm.textbytes import mapped
 
 
 def _forest(batches):
@@ -40,7 +40,7 @@ def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
     very many links is split over tasks. Loops and repeated links do nothing; no links: no rows.
     """
     a, b = links.columns
-    edges = scratch.table(links.select(a, b).where(F.col(a) != F.col(b)).mapInArrow(lean(_forest), "node long, root long").distinct())
+    edges = scratch.table(links.select(a, b).where(F.col(a) != F.col(b)).transform(mapped, _forest, "node long, root long").distinct())
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root") % 1_000_000_007)).first()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import lean
+from quillgraph.llm.textbytes import mapped
 
 #: Winning paths are sent to all executors only up to so many hosts (of at most MOST_PATH letters each).
 BROADCAST_HOSTS, MOST_PATH = 100_000, 400
@@ -199,11 +199,11 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     the first in code-point order wins. No rows: no rows. Other columns are dropped.
     """
     host = F.lower(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    votes = pages.select("url", "html").mapInArrow(lean(_votes), "host string, path string").where("host IS NOT NULL AND path IS NOT NULL")
+    votes = pages.select("url", "html").transform(mapped, _votes, "host string, path string").where("host IS NOT NULL AND path IS NOT NULL")
     counted = votes.groupBy("host", "path").count()
     won = counted.groupBy("host").agg(F.min(F.struct((-F.col("count")).alias("n"), "path")).alias("w")).select(F.col("host").alias("_host"), F.col("w.path").alias("path"))
     won = Scratch(spark, "paths").table(won)
     if won.count() <= BROADCAST_HOSTS:
         won = F.broadcast(won)
     rows = pages.select("page_id", "url", "html", host.alias("_of")).join(won, F.col("_of") == F.col("_host"), "left")
-    return rows.select("page_id", "url", "html", "path").mapInArrow(lean(_extract), "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "path").transform(mapped, _extract, "page_id long, url string, text string, n_chars long")

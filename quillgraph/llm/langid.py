@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.textbytes import chunks, lean, _LOWER
+from quillgraph.llm.textbytes import chunks, mapped, _LOWER
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: At most about so many labelled texts in all, as many of each language as may be, and so many windows of each.
@@ -138,7 +138,7 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
             text = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(text), batch.column("lang").take(text), pa.array([w.tobytes() for w in x[take]], pa.binary())], names=["doc_id", "lang", "bytes"])
 
-    rows = known.where(draw < limit).select("doc_id", "lang", "text").mapInArrow(lean(cut), "doc_id long, lang string, bytes binary").collect()
+    rows = known.where(draw < limit).select("doc_id", "lang", "text").transform(mapped, cut, "doc_id long, lang string, bytes binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, bytes(r["bytes"])))
     x = np.frombuffer(b"".join(bytes(r["bytes"]) for r in rows), np.uint8).reshape(-1, WINDOW)
     return x, np.array([languages.index(r["lang"]) for r in rows], np.int64), languages
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         net.prepare()
 
     def run(batches):
-        for batch, data, offsets in chunks(batches, "text", 1 << 20):
+        for batch, data, offsets in chunks(batches, "text"):
             n = batch.num_rows
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             some = letters[offsets[1:]] > letters[offsets[:-1]]
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                 score[some] = np.clip(p[np.arange(n), best], 0, 1)[some]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(name.tolist(), pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").transform(mapped, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import lean
+from quillgraph.llm.textbytes import mapped
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -121,7 +121,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n_bytes", "shard", "at", "length"])
         shards.close()
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), _CATALOG)
+    return docs.select("doc_id", "text").transform(mapped, run, _CATALOG)
 
 
 def places(catalog: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _read(rows: DataFrame, folder: str, schema: str, size, use) -> DataFrame:
         if file is not None:
             file.close()
 
-    return rows.mapInArrow(lean(run), StructType([*rows.schema.fields, *added.fields]))
+    return rows.transform(mapped, run, StructType([*rows.schema.fields, *added.fields]))
 
 
 def header_columns(rows: DataFrame, folder: str) -> DataFrame:

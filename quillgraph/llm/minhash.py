@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.components import connected
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import lean, mix, U
+from quillgraph.llm.textbytes import mapped, mix, U
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _STEP = U(_GOLDEN)
-_ELEMENTS = 200_000
+_ELEMENTS = 100_000
 #: Elements are ordered by a table of at most 2 ** SKETCH_BITS counts of 4 bytes, whatever the input's size.
 SKETCH_BITS = 22
 #: So many ids (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
@@ -146,10 +146,10 @@ def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> Data
     total = max(sets.agg(F.sum(F.length("elements"))).first()[0] or 0, 8) // 8
     bits = min(max(int(total).bit_length(), 12), SKETCH_BITS)
     often = np.zeros(1 << bits, np.int64)
-    for batch in sets.select("elements").mapInArrow(lean(_slots(bits)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
+    for batch in sets.select("elements").transform(mapped, _slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
         often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32))
-    rows = scratch.table(sets.mapInArrow(lean(_prefixes(shared, bits, num, den)), "id long, part long, element long, place int, size int"))
+    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int"))
     common = rows.groupBy("element", "part").count().groupBy("element").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"))
     common = scratch.table(common.where("parts > 1").select("element", F.col("m.part").alias("main")))
     rows = scratch.table(rows.join(common, "element"))
@@ -203,7 +203,7 @@ def _apart(scratch: Scratch, members: DataFrame, linked: DataFrame) -> tuple[Dat
 def _confirmed(scratch: Scratch, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough."""
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    found = met.select("a", "b", "x", "y").mapInArrow(lean(_confirm(num, den)), "a long, b long, linked boolean")
+    found = met.select("a", "b", "x", "y").transform(mapped, _confirm(num, den), "a long, b long, linked boolean")
     return scratch.table(found.where("linked").select("a", "b"))
 
 

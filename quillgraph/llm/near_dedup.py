@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, lean, shingles, text_of, words
+from quillgraph.llm.textbytes import chunks, mapped, shingles, text_of, words
 
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8 ** 4) ** 32, 5 in 100 million.
 BANDS, ROWS = 32, 4
@@ -55,13 +55,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, num:
     Documents of equal sets are one class, known by its smallest doc_id; only classes are compared.
     """
     scratch = Scratch(spark, "near")
-    rows = scratch.table(docs.select("doc_id", "text").mapInArrow(lean(shingle_sets(n_words)), "doc_id long, n long, digest binary, keys array<long>"))
+    rows = scratch.table(docs.select("doc_id", "text").transform(mapped, shingle_sets(n_words), "doc_id long, n long, digest binary, keys array<long>"))
     whole = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = scratch.table(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("id"), F.col("c.n").alias("n"), F.col("c.keys").alias("keys")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = minhash.only(docs.select(F.col("doc_id").alias("id"), "text"), scratch.table(ids), "id")
-        return texts.mapInArrow(lean(_elements(n_words)), "id long, elements binary").dropDuplicates(["id"])
+        return texts.transform(mapped, _elements(n_words), "id long, elements binary").dropDuplicates(["id"])
 
     _, roots = minhash.links(scratch, classes.select("id", "n", "keys"), sets_of, num, den)
     named = whole.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm import minhash
 from quillgraph.llm.suffix_dedup import without_spans
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, lean, run_hashes, shingles, _SPACE, words
+from quillgraph.llm.textbytes import chunks, mapped, run_hashes, shingles, _SPACE, words
 
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -138,8 +138,8 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     """
     scratch = Scratch(spark, "paragraphs")
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = scratch.table(docs.mapInArrow(lean(_table), _UNIT))
-    keyed = scratch.table(docs.mapInArrow(lean(_keys), "id long, n long, keys array<long>"))
+    lines = scratch.table(docs.transform(mapped, _table, _UNIT))
+    keyed = scratch.table(docs.transform(mapped, _keys, "id long, n long, keys array<long>"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = scratch.table(ids)
@@ -147,7 +147,7 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
         wanted = holders.groupBy("doc_id").agg(F.collect_list("id").alias("wanted"))
         if ids.count() <= minhash.BROADCAST_IDS:  # wanted holds each id once
             wanted = F.broadcast(wanted)
-        return docs.join(wanted, "doc_id").mapInArrow(lean(_sets), "id long, elements binary").dropDuplicates(["id"])
+        return docs.join(wanted, "doc_id").transform(mapped, _sets, "id long, elements binary").dropDuplicates(["id"])
 
     _, roots = minhash.links(scratch, keyed, sets_of, num, den)
     ids = scratch.table(lines.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
@@ -155,10 +155,10 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     named = scratch.table(named.select("id", "part", "low", "high"))
     parts = scratch.table(named.groupBy("part").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("part", "first"))
     again = scratch.table(named.join(parts, "part").select("id", "first"))
-    held = docs.mapInArrow(lean(_sentences), _UNIT)
+    held = docs.transform(mapped, _sentences, _UNIT)
     twice = scratch.table(held.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("id", "first"))
     repeated = lines.join(again, "id").unionByName(held.join(F.broadcast(twice) if twice.count() <= minhash.BROADCAST_IDS else twice, "id"))
-    return repeated.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).mapInArrow(lean(_runs), _RUN)
+    return repeated.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).transform(mapped, _runs, _RUN)
 
 
 def cut_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:

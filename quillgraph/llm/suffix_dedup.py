@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, lean, run_hashes, text_of, U, words
+from quillgraph.llm.textbytes import chunks, mapped, run_hashes, text_of, U, words
 
 LENGTH, K = 50, 26
 WINDOW = LENGTH - K + 1
@@ -157,17 +157,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "passages")
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.table(docs.mapInArrow(lean(_describe), "doc_id long, content long, n long, begin long, end long").where(F.col("n") >= LENGTH))
+    rows = scratch.table(docs.transform(mapped, _describe, "doc_id long, content long, n long, begin long, end long").where(F.col("n") >= LENGTH))
     contents = scratch.table(rows.groupBy("content").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("high")))
-    shared = docs.mapInArrow(lean(_neighbours), "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = docs.transform(mapped, _neighbours, "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = scratch.table(shared.where("low < high").select("prefix"))
-    found = docs.mapInArrow(lean(_suffixes), "prefix long, content long, at int").join(shared, "prefix", "left_semi")
+    found = docs.transform(mapped, _suffixes, "prefix long, content long, at int").join(shared, "prefix", "left_semi")
     found = scratch.table(found.groupBy("content").agg(F.collect_set("at").alias("found")).join(contents, "content").select(F.col("id").alias("doc_id"), "found"))
     texts = docs.join(found, "doc_id")
-    runs = scratch.table(texts.mapInArrow(lean(_extend), "run long, doc_id long, at long, begin long, end long"))
+    runs = scratch.table(texts.transform(mapped, _extend, "run long, doc_id long, at long, begin long, end long"))
     twice = scratch.table(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"))
     kept = runs.join(twice, "run").groupBy("doc_id").agg(F.collect_list(F.struct("at", "begin", "end", "first")).alias("runs"))
-    passages = kept.mapInArrow(lean(_merge), _PASSAGE)
+    passages = kept.transform(mapped, _merge, _PASSAGE)
     copies = contents.where("id < high").select("content", "id")
     whole = rows.join(copies, "content").select("doc_id", "begin", "end", F.col("n").alias("n_words"), F.col("id").alias("first_doc_id"), (F.col("doc_id") != F.col("id")).alias("removed"))
     return passages.unionAll(whole)

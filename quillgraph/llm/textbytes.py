@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+#: Texts are worked on in pieces of about so many bytes, and reach Python in batches of so many rows at most.
+CHUNK_BYTES, BATCH_ROWS = 1 << 19, 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,12 +37,16 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    if base not in _powers or len(_powers[base]) < n:
-        table = np.full(max(n, CHUNK_BYTES + 1), base & (2**64 - 1), U)
-        table[0] = 1
-        _powers[base] = np.multiply.accumulate(table)
-    return _powers[base][:n]
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; only those that a usual chunk needs are kept."""
+    most = CHUNK_BYTES + 1
+    if n <= most and base in _powers:
+        return _powers[base][:n]
+    table = np.full(max(n, most), base & (2**64 - 1), U)
+    table[0] = 1
+    np.multiply.accumulate(table, out=table)
+    if n <= most:
+        _powers[base] = table
+    return table[:n]
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -77,6 +84,14 @@ def lean(run):
     return wrapped
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) in small batches, for df.transform(): texts are long, and a task holds a batch of them several times over. The session keeps the smaller size."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df.mapInArrow(lean(run), schema)
+
+
 def chunks(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of Arrow batches of about `limit` bytes of text (one text at least), each with its bytes and offsets."""
     for batch in batches:
