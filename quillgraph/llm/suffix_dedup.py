@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillgraph.llm import minhash
 from quillgraph.sources.scratch import Scratch
 from quillgraph.llm.textbytes import chunks, mapped, run_hashes, text_of, U, words
 
@@ -163,7 +164,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = scratch.table(shared.where("low < high").select("prefix"))
     found = docs.transform(mapped, _suffixes, "prefix long, content long, at int").join(shared, "prefix", "left_semi")
     found = scratch.table(found.groupBy("content").agg(F.collect_set("at").alias("found")).join(contents, "content").select(F.col("id").alias("doc_id"), "found"))
-    texts = docs.join(found, "doc_id")
+    texts = minhash.only(docs, found.select("doc_id"), "doc_id").join(found, "doc_id")  # only these texts are shuffled
     runs = scratch.table(texts.transform(mapped, _extend, "run long, doc_id long, at long, begin long, end long"))
     twice = scratch.table(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"))
     kept = runs.join(twice, "run").groupBy("doc_id").agg(F.collect_list(F.struct("at", "begin", "end", "first")).alias("runs"))
@@ -184,14 +185,21 @@ def _cut(text: str, spans) -> str:
 def without_spans(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs without the spans (doc_id, begin, end) of their texts, which may overlap; n_chars, if there, follows the text. Documents of which no word is left go. All other rows and columns are kept as they are."""
     kept = [f"row.`{c}`" for c in docs.columns]
-    gone = spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    gone = Scratch(spark, "cuts").table(spans.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(Scratch(spark, "cuts").table(gone), F.col("row.doc_id") == F.col("id"), "left")
+    met = F.col("row.doc_id") == F.col("id")
+    if gone.count() <= minhash.BROADCAST_IDS:  # then only the texts that are cut are shuffled
+        ids = F.broadcast(gone.select("id"))
+        whole, rows = rows.join(ids, met, "left_anti"), rows.join(ids, met, "left_semi").join(gone, met)
+        whole = whole.unionAll(rows.where("row.text IS NULL").select("row"))
+    else:
+        rows = rows.join(gone, met, "left")
+        whole = rows.where("spans IS NULL OR row.text IS NULL")
     cut = F.pandas_udf(lambda texts, spans: texts.combine(spans, _cut), StringType())
     rest = rows.where("spans IS NOT NULL AND row.text IS NOT NULL").withColumn("row", F.col("row").withField("text", cut("row.text", "spans"))).where(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         rest = rest.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)))
-    return rows.where("spans IS NULL OR row.text IS NULL").select(kept).unionAll(rest.select(kept))
+    return whole.select(kept).unionAll(rest.select(kept))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -168,7 +168,9 @@ def test_repeated_passages(spark, passages):
     assert suffix_dedup.repeated_passages(spark, docs_of(spark, [None, "x"]).limit(0)).count() == 0
 
 
-def test_cut_passages(spark, passages):
+@pytest.mark.parametrize("most", [minhash.BROADCAST_IDS, 0])
+def test_cut_passages(spark, passages, most, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
     docs = docs_of(spark, passages).withColumns({"spans": F.lit(1), "id": F.lit(2), "row": F.lit(3)}).unionAll(docs_of(spark, [passages[1]], None).withColumns({"spans": F.lit(1), "id": F.lit(2), "row": F.lit(3)}))
     got = {r["doc_id"]: r for r in suffix_dedup.cut_passages(spark, docs).collect()}
     _, gone = passages_of(dict(enumerate(passages)))
