@@ -112,24 +112,32 @@ def _slots(bits: int):
     return run
 
 
+def _parity(x: np.ndarray) -> np.ndarray:
+    """128 bits, each telling whether an odd number of elements falls on it. Every bit by which two sets differ stands for an element that only one of them has."""
+    odd = np.bincount((x >> U(57)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(counts, bits: int, num: int, den: int):
-    """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity."""
+    """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity, and the set's parity bits."""
 
     def run(batches):
         often = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                element, place, size = [], [], []
+                element, place, size, parity = [], [], [], []
                 for x in part.column("elements"):
                     x = np.frombuffer(x.as_buffer(), U)
                     n = len(x) - -(-num * len(x) // den) + 1
                     element.append(x[np.lexsort((x, often[(x & U((1 << bits) - 1)).astype(np.int64)]))[:n]])
                     place.append(np.arange(n))
                     size.append(np.full(n, len(x)))
+                    parity.append(np.repeat(_parity(x)[None], n, axis=0))
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in element]))
                 flat = [np.concatenate(c) if c else np.zeros(0) for c in (element, place, size)]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32))], names=["id", "part", "element", "place", "size"])
+                bits_ = np.concatenate([*parity, np.zeros((0, 2), np.int64)])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), *[pa.array(bits_[:, i]) for i in (0, 1)]], names=["id", "part", "element", "place", "size", "p0", "p1"])
 
     return run
 
@@ -140,7 +148,8 @@ def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> Data
     Linked sets x and y share at least o = num / (num + den) of |x| + |y| elements, so in any common order the first
     |x| - o + 1 of x and the first |y| - o + 1 of y have one in common. The order is by how often an element's slot
     occurs, rare ones first: what a large group has in common comes last. Of an element most of whose sets lie in one
-    part, only the other sets are compared with all: nothing is paired within a part.
+    part, only the other sets are compared with all: nothing is paired within a part. Of |x| + |y| elements, those that
+    only one set has are at least as many as the parity bits that differ, which bounds what the sets can share.
     """
     spark = sets.sparkSession
     total = max(sets.agg(F.sum(F.length("elements"))).first()[0] or 0, 8) // 8
@@ -149,14 +158,16 @@ def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> Data
     for batch in sets.select("elements").transform(mapped, _slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
         often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32))
-    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int"))
+    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int, p0 long, p1 long"))
     common = rows.groupBy("element", "part").count().groupBy("element").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"))
     common = scratch.table(common.where("parts > 1").select("element", F.col("m.part").alias("main")))
     rows = scratch.table(rows.join(common, "element"))
-    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size")])
+    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size", "p0", "p1")])
     o = F.ceil((F.col("size") + F.col("x_size")) * num / (num + den))
     fits = (F.col("place") <= F.col("size") - o) & (F.col("x_place") <= F.col("x_size") - o) & (F.least("size", "x_size") * den >= F.greatest("size", "x_size") * num)
     reach = F.least("place", "x_place") + F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place")) >= o
+    apart = F.bit_count(F.col("p0").bitwiseXOR(F.col("x_p0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("x_p1")))
+    fits &= F.col("size") + F.col("x_size") - apart >= 2 * o
     met = x.join(rows, "element").where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id"))) & fits & reach)
     return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
@@ -166,7 +177,8 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
 
     n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit
     elements as bytes. Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket
-    (the ids of a key) is never crossed with itself: first each id is compared with one, the smallest of all its buckets.
+    (the ids of a key) is never crossed with itself: first each id is compared with one, the one that is the smallest in
+    most of its buckets and so the likeliest to be linked.
     Buckets that lie within one component are done then. In the others, ids are compared with their bucket's smallest,
     where that is in another component; and in those that still lie in several components, sets of different ones are
     compared if they share one of their rarest elements, which linked sets always do. So no link between components is lost, and a group of
@@ -179,7 +191,7 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     sets = scratch.table(sets_of(members.select("id").distinct()))
     near = F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num  # else the sizes alone rule the link out
     pairs = members.where(near & (F.col("id") != F.col("p"))).select(F.col("p").alias("a"), F.col("id").alias("b"), "key")
-    first = scratch.table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    first = scratch.table(pairs.groupBy("b").agg(F.mode("a", True).alias("a")).select("a", "b"))
     linked = _confirmed(scratch, first, sets, num, den)
     roots, split = _apart(scratch, members, linked)
     part = lambda c, name: (roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left")
@@ -190,7 +202,10 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     left = members.join(split, "key").select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("part"))
     more = _prefix_pairs(scratch, scratch.table(sets.join(left, "id")), num, den)
     linked = linked.unionAll(_confirmed(scratch, scratch.table(more), sets, num, den))
-    return linked, connected(scratch, linked)
+    roots = connected(scratch, linked)
+    for used in (crowded, members, sets, first, second):
+        scratch.drop(used)
+    return linked, roots
 
 
 def _apart(scratch: Scratch, members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
