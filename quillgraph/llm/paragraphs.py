@@ -2,7 +2,8 @@
 
 A paragraph is a line that has a word. Equal shingle sets are one class. Sets of fewer than four shingles reach a
 similarity of 0.8 only when equal, so only the others are banded. For passages that stand in the middle of a line, the
-sentences of lines are units too; these count as alike only when their words are equal.
+sentences of lines are units too; these count as alike only when their words are equal. In find_repeats(), so are runs of
+50 words or more that documents share word for word, wherever they begin and end.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash
-from quillgraph.llm.suffix_dedup import without_spans
+from quillgraph.llm.suffix_dedup import placed_passages, without_spans
 from quillgraph.sources.scratch import Scratch
 from quillgraph.llm.textbytes import chunks, mapped, run_hashes, shingles, _SPACE, words
 
@@ -136,7 +137,34 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     documents where the units begin; removed: there are any. begin and end are code points. Null text or doc_id: no row.
     Rows of one doc_id do not repeat one another. No rows: no rows. Other columns are dropped.
     """
-    scratch = Scratch(spark, "paragraphs")
+    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).transform(_passages)
+
+
+def find_repeats(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """repeated_paragraphs(), where runs of 50 words or more that two documents share are units too.
+
+    The words of a run are equal (A-Z in lower case). It begins and ends at any word, also in the middle of sentences or
+    lines, so every run of 50 words that documents share is in a passage, whole.
+    """
+    runs = _exact(Scratch(spark, "runs"), docs)
+    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).unionByName(runs).transform(_passages)
+
+
+def _exact(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """Runs that documents share word for word, as units; all tables on the way to them are deleted."""
+    way = Scratch(scratch.spark, "passages")
+    found = placed_passages(way, docs, lower=True).select("doc_id", "word", F.col("n_words").alias("words"), "begin", "end", F.col("first_doc_id").alias("first"))
+    out = scratch.table(found)
+    way.clear()
+    return out
+
+
+def _passages(units: DataFrame) -> DataFrame:
+    return units.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).transform(mapped, _runs, _RUN)
+
+
+def _units_of(scratch: Scratch, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, word, words, begin, end, first: lines and sentences that repeat."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = scratch.table(docs.transform(mapped, _table, _UNIT))
     keyed = scratch.table(docs.transform(mapped, _keys, "id long, n long, keys array<long>"))
@@ -158,10 +186,10 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     held = docs.transform(mapped, _sentences, _UNIT)
     twice = scratch.table(held.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("id", "first"))
     repeated = lines.join(again, "id").unionByName(held.join(F.broadcast(twice) if twice.count() <= minhash.BROADCAST_IDS else twice, "id"))
-    return repeated.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).transform(mapped, _runs, _RUN)
+    return repeated.select("doc_id", "word", "words", "begin", "end", "first")
 
 
 def cut_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the units that a smaller document has, as far as they are part of a passage; see repeated_paragraphs() and suffix_dedup.without_spans()."""
-    spans = repeated_paragraphs(spark, docs).where("removed").select("doc_id", F.explode("removals").alias("s")).select("doc_id", "s.begin", "s.end")
+    """docs without the units that a smaller document has, as far as they are part of a passage; see find_repeats() and suffix_dedup.without_spans()."""
+    spans = find_repeats(spark, docs).where("removed").select("doc_id", F.explode("removals").alias("s")).select("doc_id", "s.begin", "s.end")
     return without_spans(spark, docs, spans)

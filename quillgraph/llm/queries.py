@@ -20,7 +20,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(spark, _documents(spark, sf_dir))
+    return paragraphs.find_repeats(spark, _documents(spark, sf_dir))
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

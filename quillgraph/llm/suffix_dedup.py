@@ -11,6 +11,7 @@ words that contains the prefix; runs that two documents share are merged into ma
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +64,9 @@ def _contents(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, np.array([_content(hashes[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())], np.int64)
 
 
-def _describe(batches):
+def _describe(batches, lower=False):
     for batch, data, offsets in chunks(batches, "text"):
-        starts, ends, hashes = words(data, offsets, lower=False)
+        starts, ends, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         size, content = _contents(hashes, text, batch.num_rows)
         letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -77,10 +78,10 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content), pa.array(size, pa.int64()), pa.array(begin), pa.array(end)], names=["doc_id", "content", "n", "begin", "end"])
 
 
-def _neighbours(batches):
+def _neighbours(batches, lower=False):
     """Suffixes of each chunk in the order of their prefixes; of neighbours with equal prefixes, the smallest and largest content."""
     for batch, data, offsets in chunks(batches, "text"):
-        starts, _, hashes = words(data, offsets, lower=False)
+        starts, _, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         at, prefix = minimisers(hashes, text)
         _, content = _contents(hashes, text, batch.num_rows)
@@ -94,9 +95,9 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(prefix[new].view(np.int64)), pa.array(owner[new]), pa.array(owner[last])], names=["prefix", "low", "high"])
 
 
-def _suffixes(batches):
+def _suffixes(batches, lower=False):
     for batch, data, offsets in chunks(batches, "text"):
-        starts, _, hashes = words(data, offsets, lower=False)
+        starts, _, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         at, prefix = minimisers(hashes, text)
         _, content = _contents(hashes, text, batch.num_rows)
@@ -104,10 +105,10 @@ def _suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(content[text[at]]), pa.array((at - first[text[at]]).astype(np.int32))], names=["prefix", "content", "at"])
 
 
-def _extend(batches):
+def _extend(batches, lower=False):
     """All runs of LENGTH words around the given suffixes of each text, with the places of their first and last letters."""
     for batch, data, offsets in chunks(batches, "text"):
-        starts, ends, hashes = words(data, offsets, lower=False)
+        starts, ends, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -126,7 +127,7 @@ def _extend(batches):
         )
 
 
-_PASSAGE = "doc_id long, begin long, end long, n_words long, first_doc_id long, removed boolean"
+_PASSAGE = "doc_id long, word long, begin long, end long, n_words long, first_doc_id long, removed boolean"
 
 
 def _merge(batches):
@@ -143,8 +144,8 @@ def _merge(batches):
                     else:
                         now = [at, at + LENGTH, begin, end, first]
                         rows.append((doc_id, now, removed))
-        columns = [[d for d, *_ in rows], [x[2] for _, x, _ in rows], [x[3] for _, x, _ in rows], [x[1] - x[0] for _, x, _ in rows], [x[4] for _, x, _ in rows]]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([r for *_, r in rows], pa.bool_())], names=["doc_id", "begin", "end", "n_words", "first_doc_id", "removed"])
+        columns = [[d for d, *_ in rows], [x[0] for _, x, _ in rows], [x[2] for _, x, _ in rows], [x[3] for _, x, _ in rows], [x[1] - x[0] for _, x, _ in rows], [x[4] for _, x, _ in rows]]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([r for *_, r in rows], pa.bool_())], names=["doc_id", "word", "begin", "end", "n_words", "first_doc_id", "removed"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -156,21 +157,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Documents of equal words share one passage, the whole text. A document that shares nothing has no row. Null text,
     and texts of fewer words: no row. Null doc_id: no row. Rows of one doc_id do not repeat one another. No rows: no rows.
     """
-    scratch = Scratch(spark, "passages")
+    return placed_passages(Scratch(spark, "passages"), docs).drop("word")
+
+
+def placed_passages(scratch: Scratch, docs: DataFrame, lower: bool = False) -> DataFrame:
+    """repeated_passages() and the place of each one's first word (word); A-Z are compared in lower case, if lower. Tables go to scratch."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.table(docs.transform(mapped, _describe, "doc_id long, content long, n long, begin long, end long").where(F.col("n") >= LENGTH))
+    rows = scratch.table(docs.transform(mapped, partial(_describe, lower=lower), "doc_id long, content long, n long, begin long, end long").where(F.col("n") >= LENGTH))
     contents = scratch.table(rows.groupBy("content").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("high")))
-    shared = docs.transform(mapped, _neighbours, "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = docs.transform(mapped, partial(_neighbours, lower=lower), "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = scratch.table(shared.where("low < high").select("prefix"))
-    found = docs.transform(mapped, _suffixes, "prefix long, content long, at int").join(shared, "prefix", "left_semi")
+    found = docs.transform(mapped, partial(_suffixes, lower=lower), "prefix long, content long, at int").join(shared, "prefix", "left_semi")
     found = scratch.table(found.groupBy("content").agg(F.collect_set("at").alias("found")).join(contents, "content").select(F.col("id").alias("doc_id"), "found"))
     texts = minhash.only(docs, found.select("doc_id"), "doc_id").join(found, "doc_id")  # only these texts are shuffled
-    runs = scratch.table(texts.transform(mapped, _extend, "run long, doc_id long, at long, begin long, end long"))
+    runs = scratch.table(texts.transform(mapped, partial(_extend, lower=lower), "run long, doc_id long, at long, begin long, end long"))
     twice = scratch.table(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"))
     kept = runs.join(twice, "run").groupBy("doc_id").agg(F.collect_list(F.struct("at", "begin", "end", "first")).alias("runs"))
     passages = kept.transform(mapped, _merge, _PASSAGE)
     copies = contents.where("id < high").select("content", "id")
-    whole = rows.join(copies, "content").select("doc_id", "begin", "end", F.col("n").alias("n_words"), F.col("id").alias("first_doc_id"), (F.col("doc_id") != F.col("id")).alias("removed"))
+    whole = rows.join(copies, "content").select("doc_id", F.lit(0).cast("long").alias("word"), "begin", "end", F.col("n").alias("n_words"), F.col("id").alias("first_doc_id"), (F.col("doc_id") != F.col("id")).alias("removed"))
     return passages.unionAll(whole)
 
 

@@ -54,3 +54,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
         self._fs(df._scratch).delete(self._path(df._scratch), True)
+
+    def clear(self) -> None:
+        """Delete all tables of this folder."""
+        self._fs(self.root).delete(self._path(self.root), True)

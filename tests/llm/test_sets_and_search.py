@@ -210,6 +210,22 @@ def test_repeated_paragraphs(spark):
     assert paragraphs.repeated_paragraphs(spark, docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_runs_inside_lines_are_found(spark):
+    """Passages of 50 words or more in the middle of a line, of one or two sentences or without stops, are in a row, whole."""
+    rng = random.Random(16)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, edge, less, across = fresh(51), f"{fresh(25)}. {fresh(26)}", fresh(50), fresh(49), f"{fresh(30)}\n{fresh(30)}"
+    texts = [f"{fresh(9)} {one} {fresh(9)}", f"{fresh(30)} {one.upper()} {fresh(7)}", f"{fresh(5)} {two} {fresh(5)}. {fresh(9)}", f"{fresh(8)} {two} {fresh(8)}", f"{fresh(8)} {edge} {fresh(3)}", f"{fresh(2)} {edge} {fresh(4)}"]
+    texts += [f"{fresh(8)} {less} {fresh(3)}", f"{fresh(2)} {less} {fresh(4)}", f"{fresh(3)} {across} {fresh(3)}", f"{fresh(4)} {across} {fresh(5)}"]
+    rows = paragraphs.find_repeats(spark, docs_of(spark, texts)).where("n_words >= 50").collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(got) == 8 and all(got[i]["removed"] == (i % 2 == 1) and got[i]["first_doc_id"] == i - i % 2 for i in got)
+    want = dict(zip([0, 2, 4, 8], [one, two, edge, across])) | dict(zip([1, 3, 5, 9], [one.upper(), two, edge, across]))
+    assert {i: texts[i][r["begin"] : r["end"]] for i, r in got.items()} == want
+    cut = {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(spark, docs_of(spark, texts)).collect()}
+    assert all(cut[i] == (texts[i].replace(want[i], "") if i in want and i % 2 else texts[i]) for i in range(10))
+
+
 def brute_targets(sizes: dict):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
