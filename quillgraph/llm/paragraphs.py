@@ -9,6 +9,7 @@ sentences of lines are units too; these count as alike only when their words are
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -102,16 +103,20 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), minhash.binaries(place[owner[some]], found[some], int(wanted.sum()))], names=["id", "elements"])
 
 
-_RUN = "doc_id long, begin long, end long, n_words long, first_doc_id long, removed boolean, removals array<struct<begin:long,end:long>>"
+_RUN = "doc_id long, begin long, end long, n_words long, first_doc_id long, removed boolean, removals array<struct<begin:long,end:long>>, component_id long"
 
 
-def _runs(batches):
-    """Passages of LEAST_WORDS words or more that repeated units of each document cover without a gap."""
+def _runs(batches, whole=False):
+    """Passages of LEAST_WORDS words or more that repeated units of each document cover without a gap; if whole, also each unit with a part, whatever its length."""
     for batch in batches:
         rows = []
         for doc_id, units in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist()):
             run: list[dict] = []
             reach = 0
+            for u in units if whole else ():
+                if u["part"] is not None:
+                    removed = u["first"] != doc_id
+                    rows.append((doc_id, u["begin"], u["end"], u["words"], u["first"], removed, [{"begin": u["begin"], "end": u["end"]}] if removed else [], u["part"]))
             for unit in [*sorted(units, key=lambda u: (u["word"], -u["words"])), None]:
                 if unit and run and unit["word"] <= reach:
                     run.append(unit)
@@ -119,12 +124,12 @@ def _runs(batches):
                     continue
                 if run and reach - run[0]["word"] >= LEAST_WORDS:
                     gone = [{"begin": b, "end": e} for b, e in sorted({(u["begin"], u["end"]) for u in run if u["first"] != doc_id})]
-                    rows.append((doc_id, run[0]["begin"], max(u["end"] for u in run), reach - run[0]["word"], min(u["first"] for u in run), bool(gone), gone))
+                    rows.append((doc_id, run[0]["begin"], max(u["end"] for u in run), reach - run[0]["word"], min(u["first"] for u in run), bool(gone), gone, None))
                 if unit:
                     run, reach = [unit], unit["word"] + unit["words"]
-        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
+        kinds = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.int64()]
         columns = list(zip(*rows)) or [[] for _ in kinds]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "begin", "end", "n_words", "first_doc_id", "removed", "removals"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "begin", "end", "n_words", "first_doc_id", "removed", "removals", "component_id"])
 
 
 def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -137,34 +142,36 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, num: int = 80, den
     documents where the units begin; removed: there are any. begin and end are code points. Null text or doc_id: no row.
     Rows of one doc_id do not repeat one another. No rows: no rows. Other columns are dropped.
     """
-    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).transform(_passages)
+    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).transform(_passages).drop("component_id")
 
 
 def find_repeats(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """repeated_paragraphs(), where runs of 50 words or more that two documents share are units too.
+    """repeated_paragraphs() and component_id, where runs of 50 words or more that two documents share are units too, and a row for each repeated line.
 
     The words of a run are equal (A-Z in lower case). It begins and ends at any word, also in the middle of sentences or
-    lines, so every run of 50 words that documents share is in a passage, whole.
+    lines, so every run of 50 words that documents share is in a passage, whole. Passages have a null component_id.
+    Each line of a component that spans documents has a row of its own besides, of whatever length: component_id is the
+    same for all lines of the component, first_doc_id is the smallest document that has one; removed: this is not it.
     """
     runs = _exact(Scratch(spark, "runs"), docs)
-    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).unionByName(runs).transform(_passages)
+    return _units_of(Scratch(spark, "paragraphs"), docs, num, den).unionByName(runs).transform(_passages, whole=True)
 
 
 def _exact(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """Runs that documents share word for word, as units; all tables on the way to them are deleted."""
     way = Scratch(scratch.spark, "passages")
-    found = placed_passages(way, docs, lower=True).select("doc_id", "word", F.col("n_words").alias("words"), "begin", "end", F.col("first_doc_id").alias("first"))
+    found = placed_passages(way, docs, lower=True).select("doc_id", "word", F.col("n_words").alias("words"), "begin", "end", F.col("first_doc_id").alias("first"), F.lit(None).cast("long").alias("part"))
     out = scratch.table(found)
     way.clear()
     return out
 
 
-def _passages(units: DataFrame) -> DataFrame:
-    return units.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first")).alias("units")).transform(mapped, _runs, _RUN)
+def _passages(units: DataFrame, whole: bool = False) -> DataFrame:
+    return units.groupBy("doc_id").agg(F.collect_list(F.struct("word", "words", "begin", "end", "first", "part")).alias("units")).transform(mapped, partial(_runs, whole=whole), _RUN)
 
 
 def _units_of(scratch: Scratch, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, word, words, begin, end, first: lines and sentences that repeat."""
+    """doc_id, word, words, begin, end, first, part: lines and sentences that repeat; part: a line's component, null for sentences."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = scratch.table(docs.transform(mapped, _table, _UNIT))
     keyed = scratch.table(docs.transform(mapped, _keys, "id long, n long, keys array<long>"))
@@ -182,14 +189,14 @@ def _units_of(scratch: Scratch, docs: DataFrame, num: int, den: int) -> DataFram
     named = ids.join(roots, ids["id"] == roots["node"], "left").withColumn("part", F.coalesce("root", "id"))
     named = scratch.table(named.select("id", "part", "low", "high"))
     parts = scratch.table(named.groupBy("part").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("part", "first"))
-    again = scratch.table(named.join(parts, "part").select("id", "first"))
+    again = scratch.table(named.join(parts, "part").select("id", "first", "part"))
     held = docs.transform(mapped, _sentences, _UNIT)
-    twice = scratch.table(held.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("id", "first"))
+    twice = scratch.table(held.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("id", "first", F.lit(None).cast("long").alias("part")))
     repeated = lines.join(again, "id").unionByName(held.join(F.broadcast(twice) if twice.count() <= minhash.BROADCAST_IDS else twice, "id"))
-    return repeated.select("doc_id", "word", "words", "begin", "end", "first")
+    return repeated.select("doc_id", "word", "words", "begin", "end", "first", "part")
 
 
 def cut_paragraphs(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the units that a smaller document has, as far as they are part of a passage; see find_repeats() and suffix_dedup.without_spans()."""
-    spans = find_repeats(spark, docs).where("removed").select("doc_id", F.explode("removals").alias("s")).select("doc_id", "s.begin", "s.end")
+    spans = find_repeats(spark, docs).where("removed AND component_id IS NULL").select("doc_id", F.explode("removals").alias("s")).select("doc_id", "s.begin", "s.end")
     return without_spans(spark, docs, spans)

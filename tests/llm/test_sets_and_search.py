@@ -217,7 +217,7 @@ def test_runs_inside_lines_are_found(spark):
     one, two, edge, less, across = fresh(51), f"{fresh(25)}. {fresh(26)}", fresh(50), fresh(49), f"{fresh(30)}\n{fresh(30)}"
     texts = [f"{fresh(9)} {one} {fresh(9)}", f"{fresh(30)} {one.upper()} {fresh(7)}", f"{fresh(5)} {two} {fresh(5)}. {fresh(9)}", f"{fresh(8)} {two} {fresh(8)}", f"{fresh(8)} {edge} {fresh(3)}", f"{fresh(2)} {edge} {fresh(4)}"]
     texts += [f"{fresh(8)} {less} {fresh(3)}", f"{fresh(2)} {less} {fresh(4)}", f"{fresh(3)} {across} {fresh(3)}", f"{fresh(4)} {across} {fresh(5)}"]
-    rows = paragraphs.find_repeats(spark, docs_of(spark, texts)).where("n_words >= 50").collect()
+    rows = paragraphs.find_repeats(spark, docs_of(spark, texts)).where("n_words >= 50 AND component_id IS NULL").collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(got) == 8 and all(got[i]["removed"] == (i % 2 == 1) and got[i]["first_doc_id"] == i - i % 2 for i in got)
     want = dict(zip([0, 2, 4, 8], [one, two, edge, across])) | dict(zip([1, 3, 5, 9], [one.upper(), two, edge, across]))
@@ -226,6 +226,20 @@ def test_runs_inside_lines_are_found(spark):
     assert all(cut[i] == (texts[i].replace(want[i], "") if i in want and i % 2 else texts[i]) for i in range(10))
 
 
+def test_short_paragraphs_have_rows(spark):
+    """Every line of a component that spans documents is told, with its component, whatever its length; lines of one document only are not."""
+    rng = random.Random(26)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long = fresh(30)
+    near = " ".join([*long.split()[:-1], "other"])
+    texts = [f"{fresh(9)}\n{long}\nAll rights reserved.", f"All rights Reserved.\n{fresh(9)}\nown line\nown line", f"{near}\n{fresh(8)}\nAll rights reserved.\nAll rights reserved.", "own words", None, ""]
+    rows = paragraphs.find_repeats(spark, docs_of(spark, texts)).collect()
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["begin"] : r["end"]], r["n_words"], r["first_doc_id"], r["removed"], len(r["removals"])) for r in rows)
+    assert got == [(0, "All rights reserved.", 3, 0, False, 0), (0, long, 30, 0, False, 0), (1, "All rights Reserved.", 3, 0, True, 1)] + [(2, "All rights reserved.", 3, 0, True, 1)] * 2 + [(2, near, 30, 0, True, 1)]
+    assert len({r["component_id"] for r in rows if r["n_words"] == 3}) == 1 and len({r["component_id"] for r in rows}) == 2 and None not in {r["component_id"] for r in rows}
+    assert {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(spark, docs_of(spark, texts)).collect()} == dict(enumerate(texts))
+
+
 def brute_targets(sizes: dict):
     order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
