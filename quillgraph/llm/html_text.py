@@ -7,6 +7,7 @@ page is then read again with its host's winning path; a page that has no such co
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from functools import lru_cache
@@ -122,7 +123,7 @@ class Page:
             container = top[1]
             if tag not in _LEAF:
                 container = len(self.paths)
-                self.paths.append((self.paths[top[1]] + ">" + name)[:MOST_PATH])
+                self.paths.append(_below(self.paths[top[1]], name))
                 self.parents.append(top[1])
                 self.hints.append(hint)
             stack.append((tag, container, top[2] or out, top[3], top[4] or tag in {"article", "main"} or (hint > 0 and _ENTRY.search(name) is not None)))
@@ -155,6 +156,12 @@ class Page:
         return self.text(self.path())
 
 
+def _below(parent: str, name: str) -> str:
+    """The path of an element inside parent. One of more than MOST_PATH letters is told by a digest of the whole, so that different paths stay different."""
+    path = f"{parent}>{name}"
+    return path if len(path) <= MOST_PATH else "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 @lru_cache(maxsize=4096)
 def _judge(tag: str, attributes: str, in_article: bool) -> tuple[str, float, bool]:
     """An element's generalised name, how much its names speak for it, and whether it is left out."""
@@ -196,7 +203,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Blocks of the main container in page order, joined by line feeds; white space inside a block is one space. Menus,
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out. Null or empty
     html: empty text. Pages whose URL is null or has no host use their own best container. Of paths with equal votes,
-    the first in code-point order wins. No rows: no rows. Other columns are dropped.
+    the first in code-point order wins (of long ones, by their digests). No rows: no rows. Other columns are dropped.
     """
     host = F.lower(F.nullif(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     votes = pages.select("url", "html").transform(mapped, _votes, "host string, path string").where("host IS NOT NULL AND path IS NOT NULL")

@@ -147,6 +147,16 @@ def test_html_votes_by_host(spark):
     assert html_text.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("long", ["<body class='{}'>".format(" ".join(f"utility-{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))), "<div class=wrapper>" * 60])
+def test_long_paths_stay_apart(spark, long):
+    """Containers below a long list of classes or deep nesting are told from one another."""
+    page = long + "<div class=top><p>A few words of the site's own that are shown.</p></div><article><p>{}</p></article><div class=more><p>More words, on something else entirely.</p></div>"
+    pages = [(i, f"https://long.example/{i}", page.format(f"The text of page {i}. " * 20)) for i in range(3)]
+    rows = {r["page_id"]: r["text"] for r in html_text.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {i: (f"The text of page {i}. " * 20).strip() for i in range(3)}
+    assert all(len(p) <= html_text.MOST_PATH for p in html_text.Page(pages[0][2]).paths)
+
+
 def test_op7(spark):
     docs = odd_docs(spark)
     rows = media.media_table(spark, docs.withColumn("digest", F.lit("x"))).collect()
