@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text that stands directly in them, less what is link text, and the page votes
-for the generalised path (tags and classes, digits left out) of its best one. Votes are counted by host in Spark. Every
+Each page's containers are scored by the text that stands directly in them, less what is link text. The page votes for the
+generalised path (tags and classes, digits left out) of the article that its best one is part of. Votes are counted by host in Spark. Every
 page is then read again with its host's winning path; a page that has no such container uses its own best one.
 """
 
@@ -41,6 +41,7 @@ class Page:
 
     def __init__(self, source: str):
         self.paths: list[str] = [""]
+        self.tags: list[str] = [""]
         self.parents: list[int] = [0]
         self.hints: list[float] = [0.0]
         self.blocks: list[tuple[int, str, int]] = []
@@ -124,6 +125,7 @@ class Page:
             if tag not in _LEAF:
                 container = len(self.paths)
                 self.paths.append(_below(self.paths[top[1]], name))
+                self.tags.append("entry" if tag not in {"article", "main"} and hint > 0 and _ENTRY.search(name) else tag)
                 self.parents.append(top[1])
                 self.hints.append(hint)
             stack.append((tag, container, top[2] or out, top[3], top[4] or tag in {"article", "main"} or (hint > 0 and _ENTRY.search(name) is not None)))
@@ -140,13 +142,57 @@ class Page:
             score[self.parents[i]] += 0.5 * own[i]
         return max(range(len(score)), key=lambda i: (score[i] * (1 + self.hints[i]), -i))
 
+    def whole(self, best: int) -> int:
+        """The container of the article that a container is part of: the outermost article element around it.
+
+        Without one, the outermost main or entry around it, unless what that adds is mostly link text. Without a main,
+        then its ancestors as far as they add only blocks that stand in them directly or in their header, not mostly link text.
+        """
+        chain = [best]  # outwards
+        while chain[-1]:
+            chain.append(self.parents[chain[-1]])
+        articles = [i for i in chain if self.tags[i] == "article"]
+        if articles:
+            return articles[-1]
+        level = {i: k for k, i in enumerate(chain)}
+        at = [0] * len(self.paths)  # the innermost container of the chain that each one is in, by its place there
+        direct = [True] * len(self.paths)
+        for i in range(len(at)):
+            if i in level:
+                at[i] = level[i]
+            else:
+                up = self.parents[i]
+                at[i] = at[up]
+                direct[i] = direct[up] and (up not in level or self.tags[i] in {"header", "hgroup"})
+        size, links, plain = [0] * len(chain), [0] * len(chain), [True] * len(chain)
+        for container, text, linked in self.blocks:
+            k = at[container]
+            size[k] += len(text)
+            links[k] += linked
+            plain[k] = plain[k] and direct[container]
+        start, more, more_links = 0, 0, 0
+        for k, i in enumerate(chain):
+            if k:
+                more, more_links = more + size[k], more_links + links[k]
+            if self.tags[i] in {"main", "entry"} and 2 * more_links <= more:
+                start = k
+        out = chain[start]
+        for k in range(start + 1, len(chain) if self.tags[out] != "main" else 0):
+            if size[k]:
+                if not plain[k] or 2 * links[k] > size[k]:
+                    break
+                out = chain[k]
+        return out
+
     def path(self) -> str | None:
         """The path this page votes for; none, if it has no text."""
-        return self.paths[self.best()] if self.blocks else None
+        return self.paths[self.whole(self.best())] if self.blocks else None
 
     def text(self, path: str | None) -> str:
-        """The blocks of all containers with this path and of what is inside them; of the page's best one, if there is none."""
+        """The blocks of all containers with this path (of one only: of the article around it) and of what is inside them; of the page's best one, if there is none."""
         roots = {i for i, p in enumerate(self.paths) if p == path} if path is not None else set()
+        if len(roots) == 1:  # this page's article may hold more than its host's others
+            roots = {self.whole(*roots)}
         inside = [i in roots for i in range(len(self.paths))]
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]

@@ -157,6 +157,32 @@ def test_long_paths_stay_apart(spark, long):
     assert all(len(p) <= html_text.MOST_PATH for p in html_text.Page(pages[0][2]).paths)
 
 
+BODY = "<p>" + "The body of the text, of many words. " * 80 + "</p>"
+LEAD = "<p>" + "The lead of the text. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{lead}<div class=content>{body}</div></article>",
+    "<article><header><h1>Head</h1><div class=standfirst>{lead}</div></header><div><div><div class=content>{body}</div></div></div><section><p>End.</p></section></article>",
+    "<main><h1>Head</h1>{lead}<div class=content>{body}</div></main>",
+    "<div class=post><h1>Head</h1>{lead}<div class=inner>{body}</div></div><div class=side-notes><p>A note on something else, in a column.</p></div>",
+    "<div class=wrap><h1>Head</h1>{lead}<div class=entry-content>{body}</div></div><div class=blog-notes><p>A note on something else, in a column.</p></div>",
+    "<div class=wrap><div><h1>Head</h1>{lead}<div class=inner>{body}</div></div></div><div class=blog-notes><p>A note on something else, in a column.</p></div>",
+])
+def test_article_beside_its_content_container(spark, page):
+    """What stands in the article beside its largest container stays; what stands beside the article goes."""
+    source = "<body><nav>menu</nav>" + page.format(lead=LEAD, body=BODY) + "<div class=others><a href=1>Another text of this site</a> <a href=2>And one more of these</a></div></body>"
+    rows = html_text.extract(spark, spark.createDataFrame([(i, u, source) for i, u in enumerate(["https://a.example/1", None])], "page_id long, url string, html string")).collect()
+    want = [*(["Head"] if "Head" in page else []), LEAD[3:-4].strip(), BODY[3:-4].strip(), *(["End."] if "End." in page else [])]
+    assert [r["text"] for r in rows] == ["\n".join(want)] * 2
+
+
+def test_lead_that_most_pages_of_a_host_lack(spark):
+    pages = [(i, f"https://b.example/{i}", f"<body><div class=wrap>{LEAD if i == 3 else ''}<div class=inner>{BODY}</div></div>") for i in range(4)]
+    rows = {r["page_id"]: r["text"] for r in html_text.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows[0] == rows[1] == rows[2] == BODY[3:-4].strip() and rows[3] == LEAD[3:-4].strip() + "\n" + rows[0]
+
+
 def test_op7(spark):
     docs = odd_docs(spark)
     rows = media.media_table(spark, docs.withColumn("digest", F.lit("x"))).collect()
