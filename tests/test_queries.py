@@ -1,4 +1,7 @@
+import hashlib
+
 import pytest
+import xxhash
 
 from quillgraph import queries
 from tests.oracle import connect, same
@@ -27,3 +30,29 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def brute_chunks(text):
+    """Letter by letter: pieces and separators, gathered up to 3200 letters (2800 from the second chunk on), after the longest tail of whole pieces of 400 letters at most."""
+    pieces, at = [""], 0
+    while at < len(text):
+        found = next((s for s in ("\n\n\n", "\n\n", "\r\n\r\n", *"。．.！!？?") if text.startswith(s, at)), None)
+        pieces[-1:] = [pieces[-1], found, ""] if found else [pieces[-1] + text[at]]
+        at += len(found or "x")
+    own = [[]]
+    for i, piece in enumerate(pieces if len(text) > 3200 else [text]):
+        if i % 2 == 0 and len("".join(own[-1])) + len(piece) > (3200 if len(own) == 1 else 2800):
+            own.append([])
+        own[-1].append(piece)
+    tail = lambda before: max((before[len(before) - n :] for n in range(len(before) + 1) if len("".join(before[len(before) - n :])) <= 400), key=len)
+    return ["".join(own[0]), *["".join(tail(a) + b) for a, b in zip(own, own[1:])]]
+
+
+def test_chunks_of_whole_texts(spark):
+    """chunk_docs and chunk_ids over the whole table, most of all over texts that are cut."""
+    want = {r["doc_id"]: brute_chunks(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").collect()}
+    assert sum(len(c) > 2 for c in want.values()) > 10
+    got = sorted((r["doc_id"], r["pos"], r["n_chars"], r["md5"]) for r in queries.QUERIES["chunk_docs"](spark, SF).collect())
+    assert got == sorted((d, i, len(c), hashlib.md5(c.encode()).hexdigest()) for d, cut in want.items() for i, c in enumerate(cut))
+    ids = sorted((r["doc_id"], r["pos"], r["id"]) for r in queries.QUERIES["chunk_ids"](spark, SF).collect())
+    assert ids == sorted((d, cut.index(c), xxhash.xxh3_64_intdigest(c.encode()) // 2) for d, cut in want.items() for c in set(cut))
