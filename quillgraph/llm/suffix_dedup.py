@@ -2,15 +2,15 @@
 
 Of all suffixes of a text, only those are retained that begin at a minimiser: the position whose first K words have the
 smallest hash among WINDOW neighbouring ones. Any run of LENGTH = K + WINDOW - 1 words holds a whole minimiser prefix,
-and equal runs hold the same one. Suffixes are sorted by the hash of their prefix within each task and compared with
-their neighbours; what tasks find is merged by aggregation, so a prefix shared by very many texts is one row a task.
-Around each suffix whose prefix another text shares, the match is extended to the left and right to every run of LENGTH
-words that contains the prefix; runs that two documents share are merged into maximal passages.
+and equal runs hold the same one. Suffixes whose prefix two texts have are sorted by their words over all tasks, dealt
+out by ranges of the whole key, so that a prefix shared by very many texts is split. Each is compared with its neighbours:
+the nearest ones of other texts tell how many words it shares to the right. The match is then extended to the left, to
+every run of LENGTH words that begins there and does not pass what is shared to the right; runs that two documents
+share (by 128 bits) are merged into maximal passages.
 """
 
 from __future__ import annotations
 
-import hashlib
 from functools import partial
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 
 from quillgraph.llm import minhash
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, mapped, run_hashes, text_of, U, words
+from quillgraph.llm.textbytes import chunks, digests, mapped, run_hashes, second, text_of, U, words
 
 LENGTH, K = 50, 26
 WINDOW = LENGTH - K + 1
@@ -53,15 +53,9 @@ def minimisers(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
     return chosen, prefix[chosen]
 
 
-def _content(words_: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(words_.tobytes()).digest()[:8], "little", signed=True)
-
-
-def _contents(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of n texts, its number of words and a 64-bit digest of their sequence."""
-    size = np.bincount(text, minlength=n)
-    ends = np.cumsum(size)
-    return size, np.array([_content(hashes[e - s : e]) for s, e in zip(size.tolist(), ends.tolist())], np.int64)
+def _contents(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, list[bytes]]:
+    """For each of n texts, its number of words and 128 bits for their sequence."""
+    return np.bincount(text, minlength=n), digests(text, hashes, second(hashes), n)
 
 
 def _describe(batches, lower=False):
@@ -75,17 +69,17 @@ def _describe(batches, lower=False):
         begin, end = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         begin[some] = letters[starts[bounds[:-1][some]]] - letters[offsets[:-1][some]]
         end[some] = letters[ends[bounds[1:][some] - 1]] - letters[offsets[:-1][some]]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content), pa.array(size, pa.int64()), pa.array(begin), pa.array(end)], names=["doc_id", "content", "n", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(content, pa.binary()), pa.array(size, pa.int64()), pa.array(begin), pa.array(end)], names=["doc_id", "content", "n", "begin", "end"])
 
 
-def _neighbours(batches, lower=False):
-    """Suffixes of each chunk in the order of their prefixes; of neighbours with equal prefixes, the smallest and largest content."""
+def _prefixes(batches, lower=False):
+    """The prefixes of retained suffixes, once a chunk, each with the smallest and the largest of 64 bits of the texts that have it."""
     for batch, data, offsets in chunks(batches, "text"):
         starts, _, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         at, prefix = minimisers(hashes, text)
         _, content = _contents(hashes, text, batch.num_rows)
-        owner = content[text[at]]
+        owner = np.frombuffer(b"".join(content), np.int64)[::2][text[at]] if len(at) else np.zeros(0, np.int64)
         order = np.lexsort((owner, prefix))
         prefix, owner = prefix[order], owner[order]
         new = np.ones(len(prefix), bool)
@@ -96,34 +90,73 @@ def _neighbours(batches, lower=False):
 
 
 def _suffixes(batches, lower=False):
+    """Retained suffixes: their prefixes, 32 bits of each of the words that follow up to LENGTH, the text's content, and where they begin."""
     for batch, data, offsets in chunks(batches, "text"):
         starts, _, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         at, prefix = minimisers(hashes, text)
         _, content = _contents(hashes, text, batch.num_rows)
-        first = np.searchsorted(text, np.arange(batch.num_rows))
-        yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(content[text[at]]), pa.array((at - first[text[at]]).astype(np.int32))], names=["prefix", "content", "at"])
+        bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        brief = np.concatenate([(hashes >> U(32)).astype(">u4"), np.zeros(LENGTH, ">u4")])
+        follow = np.arange(K, LENGTH)
+        tails = np.where(at[:, None] + follow < bounds[text[at] + 1][:, None], brief[at[:, None] + follow], 0).astype(">u4")
+        tails = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (LENGTH - K)), len(at), [None, pa.py_buffer(np.ascontiguousarray(tails).tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), tails, pa.array(content, pa.binary()).take(pa.array(text[at])), pa.array((at - bounds[text[at]]).astype(np.int32))], names=["prefix", "tail", "content", "at"])
+
+
+def reaches(prefix: np.ndarray, tails: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """For sorted suffixes, the most words (up to LENGTH) that each has in common with one of another content; 0 if less than a prefix.
+
+    In sorted order what two suffixes share is the least that neighbours between them share, so the nearest suffix of
+    another content on either side shares the most. Beyond the first and the last row others may follow that share all.
+    """
+    n = len(prefix)
+    if not n:
+        return np.zeros(0, np.int64)
+    differ = tails[1:] != tails[:-1]
+    near = np.where(prefix[1:] == prefix[:-1], K + np.where(differ.any(axis=1), differ.argmax(axis=1), tails.shape[1]), 0)
+    near = np.concatenate([[LENGTH], near, [LENGTH]])  # what a row shares with the one before it
+    same = content[1:] == content[:-1]
+    back, ahead = near[:-1].copy(), near[1:].copy()
+    for i in np.flatnonzero(same):  # of rows of one content, one after another, all look at what stands before the first
+        back[i + 1] = min(back[i + 1], back[i])
+    for i in np.flatnonzero(same)[::-1]:
+        ahead[i] = min(ahead[i], ahead[i + 1])
+    return np.maximum(back, ahead)
+
+
+def _compare(batches):
+    """Suffixes of a sorted table that share a prefix or more with a neighbour of another content, and how many words. What stands at an edge of a batch may share all with the next."""
+    for batch in batches:
+        n = batch.num_rows
+        tails = np.frombuffer(b"".join(batch.column("tail").to_pylist()), np.uint8).reshape(n, LENGTH - K, 4).copy().view(np.uint32)[:, :, 0]
+        reach = reaches(batch.column("prefix").to_numpy(), tails, np.array(batch.column("content").to_pylist(), object))
+        some = pa.array(np.flatnonzero(reach))
+        yield pa.RecordBatch.from_arrays([batch.column("content").take(some), batch.column("at").take(some), pa.array(reach[reach > 0].astype(np.int32))], names=["content", "at", "reach"])
 
 
 def _extend(batches, lower=False):
-    """All runs of LENGTH words around the given suffixes of each text, with the places of their first and last letters."""
+    """All runs of LENGTH words that begin at or left of the given suffixes of each text and do not pass their reach: 128 bits of each, with the places of its first and last letters."""
     for batch, data, offsets in chunks(batches, "text"):
         starts, ends, hashes = words(data, offsets, lower)
         text = text_of(starts, offsets)
         bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
         letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        found = batch.column("found")
+        owner = np.repeat(np.arange(batch.num_rows), found.value_lengths().to_numpy(zero_copy_only=False))
+        at, reach = (found.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        at = at + bounds[owner]
+        low, high = np.maximum(at - (WINDOW - 1), bounds[owner]), np.minimum(at - (LENGTH - reach), bounds[owner + 1] - LENGTH)
         wanted = np.zeros(len(hashes) + 1, np.int64)  # +1 where a stretch of run starts begins, -1 after its end
-        for i, found in enumerate(batch.column("found").to_pylist()):
-            at = np.array(found, np.int64) + bounds[i]
-            low, high = np.maximum(at - (WINDOW - 1), bounds[i]), np.minimum(at, bounds[i + 1] - LENGTH)
-            np.add.at(wanted, low[high >= low], 1)
-            np.add.at(wanted, high[high >= low] + 1, -1)
+        np.add.at(wanted, low[high >= low], 1)
+        np.add.at(wanted, high[high >= low] + 1, -1)
         run = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
         owner = text[run]
         base = letters[offsets[owner]]
+        both = [pa.array(run_hashes(h, run, run + LENGTH).view(np.int64)) for h in (hashes, second(hashes))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(run_hashes(hashes, run, run + LENGTH).view(np.int64)), batch.column("doc_id").take(pa.array(owner)), pa.array(run - bounds[owner]), pa.array(letters[starts[run]] - base), pa.array(letters[ends[run + LENGTH - 1]] - base)],
-            names=["run", "doc_id", "at", "begin", "end"],
+            [*both, batch.column("doc_id").take(pa.array(owner)), pa.array(run - bounds[owner]), pa.array(letters[starts[run]] - base), pa.array(letters[ends[run + LENGTH - 1]] - base)],
+            names=["run", "run2", "doc_id", "at", "begin", "end"],
         )
 
 
@@ -133,19 +166,19 @@ _PASSAGE = "doc_id long, word long, begin long, end long, n_words long, first_do
 def _merge(batches):
     """Runs of each document, overlapping or touching ones as one passage; those whose first document is another one apart from the others."""
     for batch in batches:
-        rows = []
-        for doc_id, runs in zip(batch.column("doc_id").to_pylist(), batch.column("runs").to_pylist()):
-            for removed in (False, True):
-                some = sorted(((r["at"], r["begin"], r["end"], r["first"]) for r in runs if (r["first"] != doc_id) == removed))
-                now = None
-                for at, begin, end, first in some:
-                    if now and at <= now[1]:
-                        now[1], now[3], now[4] = at + LENGTH, end, min(now[4], first)
-                    else:
-                        now = [at, at + LENGTH, begin, end, first]
-                        rows.append((doc_id, now, removed))
-        columns = [[d for d, *_ in rows], [x[0] for _, x, _ in rows], [x[2] for _, x, _ in rows], [x[3] for _, x, _ in rows], [x[1] - x[0] for _, x, _ in rows], [x[4] for _, x, _ in rows]]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([r for *_, r in rows], pa.bool_())], names=["doc_id", "word", "begin", "end", "n_words", "first_doc_id", "removed"])
+        runs = batch.column("runs")
+        doc_id = np.repeat(batch.column("doc_id").to_numpy(), runs.value_lengths().to_numpy(zero_copy_only=False))
+        at, begin, end, first = (runs.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+        removed = first != doc_id
+        order = np.lexsort((at, removed, doc_id))
+        doc_id, at, begin, end, first, removed = (x[order] for x in (doc_id, at, begin, end, first, removed))
+        new = np.ones(len(at), bool)
+        new[1:] = (doc_id[1:] != doc_id[:-1]) | (removed[1:] != removed[:-1]) | (at[1:] > at[:-1] + LENGTH)
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(at))[: len(start)] - 1
+        first = np.minimum.reduceat(first, start) if len(start) else first
+        columns = [doc_id[start], at[start], begin[start], end[last], at[last] + LENGTH - at[start], first]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(removed[start])], names=["doc_id", "word", "begin", "end", "n_words", "first_doc_id", "removed"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -163,16 +196,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def placed_passages(scratch: Scratch, docs: DataFrame, lower: bool = False) -> DataFrame:
     """repeated_passages() and the place of each one's first word (word); A-Z are compared in lower case, if lower. Tables go to scratch."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = scratch.table(docs.transform(mapped, partial(_describe, lower=lower), "doc_id long, content long, n long, begin long, end long").where(F.col("n") >= LENGTH))
+    rows = scratch.table(docs.transform(mapped, partial(_describe, lower=lower), "doc_id long, content binary, n long, begin long, end long").where(F.col("n") >= LENGTH))
     contents = scratch.table(rows.groupBy("content").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("high")))
-    shared = docs.transform(mapped, partial(_neighbours, lower=lower), "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = docs.transform(mapped, partial(_prefixes, lower=lower), "prefix long, low long, high long").groupBy("prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = scratch.table(shared.where("low < high").select("prefix"))
-    found = docs.transform(mapped, partial(_suffixes, lower=lower), "prefix long, content long, at int").join(shared, "prefix", "left_semi")
-    found = scratch.table(found.groupBy("content").agg(F.collect_set("at").alias("found")).join(contents, "content").select(F.col("id").alias("doc_id"), "found"))
+    suffixes = scratch.table(minhash.only(docs.transform(mapped, partial(_suffixes, lower=lower), "prefix long, tail binary, content binary, at int"), shared, "prefix"))
+    order = ["prefix", "tail", "content", "at"]
+    sorted_ = suffixes.repartitionByRange(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    met = sorted_.transform(mapped, _compare, "content binary, at int, reach int")
+    found = met.groupBy("content").agg(F.collect_set(F.struct("at", "reach")).alias("found"))
+    found = scratch.table(found.join(contents, "content").select(F.col("id").alias("doc_id"), "found"))
+    scratch.drop(suffixes)
     texts = minhash.only(docs, found.select("doc_id"), "doc_id").join(found, "doc_id")  # only these texts are shuffled
-    runs = scratch.table(texts.transform(mapped, partial(_extend, lower=lower), "run long, doc_id long, at long, begin long, end long"))
-    twice = scratch.table(runs.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first"))
-    kept = runs.join(twice, "run").groupBy("doc_id").agg(F.collect_list(F.struct("at", "begin", "end", "first")).alias("runs"))
+    runs = scratch.table(texts.transform(mapped, partial(_extend, lower=lower), "run long, run2 long, doc_id long, at long, begin long, end long"))
+    twice = scratch.table(runs.groupBy("run", "run2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "run2", "first"))
+    kept = runs.join(twice, ["run", "run2"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "begin", "end", "first")).alias("runs"))
     passages = kept.transform(mapped, _merge, _PASSAGE)
     copies = contents.where("id < high").select("content", "id")
     whole = rows.join(copies, "content").select("doc_id", F.lit(0).cast("long").alias("word"), "begin", "end", F.col("n").alias("n_words"), F.col("id").alias("first_doc_id"), (F.col("doc_id") != F.col("id")).alias("removed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -125,10 +126,22 @@ def text_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, "right") - 1
 
 
-def shingles(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts and hashes of all distinct n-word shingles, sorted by both; a text of fewer words has its whole sequence as one."""
+def second(hashes: np.ndarray) -> np.ndarray:
+    """Another 64 bits for words of these hashes: runs of both are told apart by 128 bits."""
+    return mix(hashes ^ U(0x5851F42D4C957F2D))
+
+
+def digests(owner: np.ndarray, values: np.ndarray, others: np.ndarray, n: int) -> list[bytes]:
+    """128 bits for each of n owners (ascending) that stand for its values and the others beside them, in their order."""
+    ends = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+    both = np.stack([values, others], axis=1) if len(values) else np.zeros((0, 2), U)
+    return [hashlib.md5(both[s:e].tobytes()).digest() for s, e in zip([0, *ends], ends)]
+
+
+def shingles(hashes: np.ndarray, text: np.ndarray, n: int, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """Texts and hashes of all distinct n-word shingles, sorted by both; a text of fewer words has its whole sequence as one. If twice, also other 64 bits of each."""
     if not len(hashes):
-        return text[:0], hashes[:0]
+        return (text[:0], hashes[:0], hashes[:0])[: 2 + twice]
     bounds = np.flatnonzero(np.diff(text)) + 1
     first = np.concatenate([[0], bounds])
     size = np.diff(np.concatenate([first, [len(text)]]))
@@ -137,10 +150,13 @@ def shingles(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray,
     whole = at + n <= (first + size)[number]
     whole[first[size < n]] = True
     at = at[whole]
-    found = run_hashes(hashes, at, at + np.minimum(n, size[number[at]]))
+    ends = at + np.minimum(n, size[number[at]])
+    found = run_hashes(hashes, at, ends)
     owner = text[at]
     order = np.lexsort((found, owner))
     owner, found = owner[order], found[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
-    return owner[new], found[new]
+    if not twice:
+        return owner[new], found[new]
+    return owner[new], found[new], run_hashes(second(hashes), at, ends)[order][new]
