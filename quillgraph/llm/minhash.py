@@ -8,6 +8,8 @@ slots; a text is done once no slot can be lowered by later values.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ _ELEMENTS = 100_000
 SKETCH_BITS = 22
 #: So many ids (8 bytes each) are sent to all executors at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: 64-bit words of parity bits of each set.
+PARITY = 8
 
 
 def _step(i: int) -> np.uint64:
@@ -113,11 +117,14 @@ def _slots(bits: int):
 
 
 def _parity(x: np.ndarray) -> np.ndarray:
-    """128 bits, each telling whether an odd number of elements falls on it. Every bit by which two sets differ stands for an element that only one of them has."""
-    odd = np.bincount((x >> U(57)).astype(np.int64), minlength=128) & 1
+    """512 bits, each telling whether an odd number of elements falls on it. Every bit by which two sets differ stands for an element that only one of them has."""
+    odd = np.bincount((x >> U(55)).astype(np.int64), minlength=64 * PARITY) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+_PARITIES = [f"p{i}" for i in range(PARITY)]
+
+
 def _prefixes(counts, bits: int, num: int, den: int):
     """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity, and the set's parity bits."""
 
@@ -136,8 +143,8 @@ def _prefixes(counts, bits: int, num: int, den: int):
                     parity.append(np.repeat(_parity(x)[None], n, axis=0))
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in element]))
                 flat = [np.concatenate(c) if c else np.zeros(0) for c in (element, place, size)]
-                bits_ = np.concatenate([*parity, np.zeros((0, 2), np.int64)])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), *[pa.array(bits_[:, i]) for i in (0, 1)]], names=["id", "part", "element", "place", "size", "p0", "p1"])
+                bits_ = np.concatenate([*parity, np.zeros((0, PARITY), np.int64)])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), *[pa.array(bits_[:, i]) for i in range(PARITY)]], names=["id", "part", "element", "place", "size", *_PARITIES])
 
     return run
 
@@ -158,24 +165,24 @@ def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> Data
     for batch in sets.select("elements").transform(mapped, _slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
         often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32))
-    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int, p0 long, p1 long"))
+    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int, " + ", ".join(f"{p} long" for p in _PARITIES)))
     common = rows.groupBy("element", "part").count().groupBy("element").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"))
     common = scratch.table(common.where("parts > 1").select("element", F.col("m.part").alias("main")))
     rows = scratch.table(rows.join(common, "element"))
-    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size", "p0", "p1")])
+    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size", *_PARITIES)])
     o = F.ceil((F.col("size") + F.col("x_size")) * num / (num + den))
     fits = (F.col("place") <= F.col("size") - o) & (F.col("x_place") <= F.col("x_size") - o) & (F.least("size", "x_size") * den >= F.greatest("size", "x_size") * num)
     reach = F.least("place", "x_place") + F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place")) >= o
-    apart = F.bit_count(F.col("p0").bitwiseXOR(F.col("x_p0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("x_p1")))
+    apart = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"x_{p}"))) for p in _PARITIES])
     fits &= F.col("size") + F.col("x_size") - apart >= 2 * o
     met = x.join(rows, "element").where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id"))) & fits & reach)
     return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
 
-def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """keyed (id, n, keys) -> confirmed links (a, b), and the components (node, root) that they make.
+def links(scratch: Scratch, entries: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """entries (id, n, key) -> confirmed links (a, b), and the components (node, root) that they make.
 
-    n: the size of an id's set; keys: its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit
+    n: the size of an id's set; key: one of its band keys; rows may repeat. sets_of(ids) gives (id, elements): sorted 64-bit
     elements as bytes. Two ids of a common key are linked if shared / union of their sets is num / den or more. A bucket
     (the ids of a key) is never crossed with itself: first each id is compared with one, the one that is the smallest in
     most of its buckets and so the likeliest to be linked.
@@ -184,9 +191,8 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     compared if they share one of their rarest elements, which linked sets always do. So no link between components is lost, and a group of
     near-copies costs one comparison each, not one a pair.
     """
-    entries = keyed.select("id", "n", F.explode("keys").alias("key"))
-    crowded = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("low"), F.max("id").alias("high")).where("low.id < high")
-    crowded = scratch.table(crowded.select("key", F.col("low.id").alias("p"), F.col("low.n").alias("p_n")))
+    crowded = entries.groupBy("key").agg(F.min("id").alias("p"), F.min_by("n", "id").alias("p_n"), F.max("id").alias("high")).where("p < high")
+    crowded = scratch.table(crowded.select("key", "p", "p_n"))
     members = scratch.table(entries.join(crowded, "key").distinct())
     sets = scratch.table(sets_of(members.select("id").distinct()))
     near = F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num  # else the sizes alone rule the link out
@@ -194,11 +200,15 @@ def links(scratch: Scratch, keyed: DataFrame, sets_of: Callable[[DataFrame], Dat
     first = scratch.table(pairs.groupBy("b").agg(F.mode("a", True).alias("a")).select("a", "b"))
     linked = _confirmed(scratch, first, sets, num, den)
     roots, split = _apart(scratch, members, linked)
+    if split.isEmpty():
+        return linked, roots
     part = lambda c, name: (roots.select(F.col("node").alias(c), F.col("root").alias(name)), c, "left")
     second = pairs.join(split, "key").join(*part("a", "x")).join(*part("b", "y")).where(F.coalesce("x", "a") != F.coalesce("y", "b"))
     second = scratch.table(second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
     linked = linked.unionAll(_confirmed(scratch, second, sets, num, den))
     roots, split = _apart(scratch, members, linked)
+    if split.isEmpty():
+        return linked, roots
     left = members.join(split, "key").select("id").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("part"))
     more = _prefix_pairs(scratch, scratch.table(sets.join(left, "id")), num, den)
     linked = linked.unionAll(_confirmed(scratch, scratch.table(more), sets, num, den))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import minhash
 from quillgraph.sources.scratch import Scratch
-from quillgraph.llm.textbytes import chunks, mapped, shingles, text_of, words
+from quillgraph.llm.textbytes import chunks, digests, mapped, shingles, text_of, words
 
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8 ** 4) ** 32, 5 in 100 million.
 BANDS, ROWS = 32, 4
@@ -23,13 +21,11 @@ def shingle_sets(n_words: int):
     def run(batches):
         for batch, data, offsets in chunks(batches, "text"):
             starts, _, hashes = words(data, offsets, lower=True)
-            owner, found = shingles(hashes, text_of(starts, offsets), n_words)
+            owner, found, others = shingles(hashes, text_of(starts, offsets), n_words, twice=True)
             n = batch.num_rows
             size = np.bincount(owner, minlength=n)
-            ends = np.cumsum(size)
-            digests = [hashlib.md5(found[e - s : e].tobytes()).digest() for s, e in zip(size.tolist(), ends.tolist())]
             keys = minhash.band_keys(minhash.signatures(owner, found, n, BANDS * ROWS), ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), minhash.lists(keys)], names=["doc_id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests(owner, found, others, n), pa.binary()), minhash.lists(keys)], names=["doc_id", "n", "digest", "keys"])
 
     return run
 
@@ -45,33 +41,37 @@ def _elements(n_words: int):
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, set_size, component_id, kept: one row for each row of docs.
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     A document's set: its distinct n-word shingles of whole texts, A-Z in lower case; of fewer words, the sequence as
     one. Documents are linked if shared / union of their sets is num / den or more. component_id: the smallest doc_id
     that links reach; kept: that is its own. Null text or no word: an empty set, linked with nothing. Null doc_id: in no
-    component (null), kept. Rows of one doc_id are one document as far as links go. No rows: no rows. Other columns are dropped.
+    component (null), kept. Rows of one doc_id are one document as far as links go, also if their texts are unequal: a link
+    of one is a link of all. No rows: no rows. Other columns are dropped.
 
     Documents of equal sets are one class, known by its smallest doc_id; only classes are compared.
     """
     scratch = Scratch(spark, "near")
     rows = scratch.table(docs.select("doc_id", "text").transform(mapped, shingle_sets(n_words), "doc_id long, n long, digest binary, keys array<long>"))
     whole = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = scratch.table(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "keys")).alias("c")).select("digest", F.col("c.doc_id").alias("id"), F.col("c.n").alias("n"), F.col("c.keys").alias("keys")))
+    classes = scratch.table(whole.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")))  # equal in a class
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = minhash.only(docs.select(F.col("doc_id").alias("id"), "text"), scratch.table(ids), "id")
-        return texts.transform(mapped, _elements(n_words), "id long, elements binary").dropDuplicates(["id"])
+        return texts.transform(mapped, _elements(n_words), "id long, elements binary").distinct()  # unequal texts of one id are two sets of it
 
-    _, roots = minhash.links(scratch, classes.select("id", "n", "keys"), sets_of, num, den)
+    _, roots = minhash.links(scratch, classes.select("id", "n", F.explode("keys").alias("key")), sets_of, num, den)
     named = whole.select("doc_id", "n", "digest").join(classes.select("digest", "id"), "digest")
-    out = named.join(roots, named["id"] == roots["node"], "left").select("doc_id", F.col("n").alias("set_size"), F.coalesce("root", "id").alias("component_id"))
-    rest = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("set_size"), F.col("doc_id").alias("component_id"))
+    out = named.join(roots, named["id"] == roots["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    rest = rows.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the smallest doc_id; of rows that repeat a doc_id, one stays. All columns are kept, and rows with a null doc_id."""
+    """docs with one document of each group of near-duplicates, the one with the smallest doc_id; of rows that repeat a doc_id, one stays.
+
+    All columns are kept, and rows with a null doc_id, a null text or no word. No rows: no rows.
+    """
     scratch = Scratch(spark, "keep")
     found = near_duplicates(spark, docs, n_words, num, den)
     gone = scratch.table(found.where("NOT kept").select("doc_id").distinct())

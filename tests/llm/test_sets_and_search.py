@@ -68,7 +68,7 @@ def copies():
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_duplicates(spark, copies, n):
     docs = docs_of(spark, copies).withColumn("id", F.lit(1)).withColumn("keys", F.lit(2))
-    got = {r["doc_id"]: (r["set_size"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark, docs, n).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark, docs, n).collect()}
     assert got == brute_components(dict(enumerate(copies)), n)
 
 
@@ -193,21 +193,63 @@ def test_minimisers_are_shared():
         assert found[0] & found[1]
 
 
-def test_repeated_paragraphs(spark):
+def brute_lines(texts: dict):
+    """Every line with a word that another line is alike to, by comparing all pairs: (doc_id, word, begin, end) with the first of its component."""
+    lines = []
+    for i, t in texts.items():
+        at = word = 0
+        for line in (t or "").split("\n"):
+            if found := list(WORD.finditer(line)):
+                lines.append(((i, word, at + found[0].start(), at + found[-1].end()), shingle_set(line, 5)))
+                word += len(found)
+            at += len(line) + 1
+    up = list(range(len(lines)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for x, y in itertools.combinations(range(len(lines)), 2):
+        a, b = lines[x][1], lines[y][1]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            p, q = find(x), find(y)
+            up[max(p, q)] = min(p, q)
+    many = [find(x) for x in range(len(lines))]
+    return {lines[x][0]: lines[r][0][:2] for x, r in enumerate(many) if many.count(r) > 1}
+
+
+@pytest.mark.parametrize("most", [minhash.BROADCAST_IDS, 0])
+def test_repeated_lines(spark, most, monkeypatch):
+    """Near, equal, short and inner repeats, chains of near copies, lines of repeated words, against all pairs of lines."""
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
+    monkeypatch.setattr(paragraphs, "BROADCAST_LINES", most)
     rng = random.Random(6)
     fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
-    para = [fresh(30) + ".", fresh(60) + "."]
-    near = edited(para[1].split(), 1, rng)
-    line = " ".join(fresh(12) + "." for _ in range(6))
-    texts = [f"{fresh(20)}\n{para[0]}\n\n{para[1]}", f"{para[0].upper()}\n{near}\n{fresh(9)}", f"{fresh(10)}\nAll rights reserved.", "All rights reserved.\n" + fresh(80), f"{fresh(20)}.\n{line}", f"{fresh(30)} {line} {fresh(9)}", None, "", fresh(3000)]
-    rows = paragraphs.repeated_paragraphs(spark, docs_of(spark, texts)).collect()
-    got = {r["doc_id"]: r for r in rows}
-    assert set(got) == {0, 1, 4, 5} and not got[0]["removed"] and got[1]["removed"] and got[1]["first_doc_id"] == 0
-    assert texts[1][got[1]["begin"] : got[1]["end"]] == f"{para[0].upper()}\n{near}" and len(got[1]["removals"]) == 2
-    assert texts[5][got[5]["begin"] : got[5]["end"]] == " ".join(line.split(" ")[12:])
-    cut = {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(spark, docs_of(spark, texts)).collect()}
-    assert cut[0] == texts[0] and cut[3] == texts[3] and para[0].upper() not in cut[1] and cut[6] is None and cut[7] == ""
-    assert paragraphs.repeated_paragraphs(spark, docs_of(spark, texts).limit(0)).count() == 0
+    base = [fresh(70).split(), fresh(45).split(), fresh(25).split()]
+    pool = [edited(b, rng.randrange(4), rng) for b in base for _ in range(25)] + ["All rights reserved."] * 5 + ["all  rights RESERVED.", "a a a a a a", "a a a a a a a", "x", "own line", "own line", "é è"]
+    pool += [fresh(rng.randrange(1, 30)) for _ in range(30)]
+    chain = base[1]
+    for _ in range(6):
+        chain = edited(chain, 1, rng).split()
+        pool.append(" ".join(chain))
+    rng.shuffle(pool)
+    texts: list = ["\n".join(pool[k : k + 4]) + "\n" * (k % 3) for k in range(0, len(pool), 4)] + [None, "", " \n ", "The same\nthe Same"]
+    docs = docs_of(spark, texts).withColumns({"word": F.lit(1), "digest": F.lit("x"), "id": F.lit(2), "key": F.lit(3)}).unionAll(docs_of(spark, ["All rights reserved."], None).withColumns({"word": F.lit(1), "digest": F.lit("x"), "id": F.lit(2), "key": F.lit(3)}))
+    rows = paragraphs.repeated_lines(spark, docs).collect()
+    got = {(r["doc_id"], r["word"], r["begin"], r["end"]): (r["first_doc_id"], r["first_word"]) for r in rows}
+    assert len(got) == len(rows) and got == brute_lines(dict(enumerate(texts)))
+    assert len({r["component_id"] for r in rows}) == len(set(got.values()))
+    twice = docs_of(spark, texts[:3]).unionAll(docs_of(spark, texts[:3]))
+    assert {r["doc_id"] for r in paragraphs.repeated_lines(spark, twice).collect()} == {0, 1, 2}
+    assert paragraphs.repeated_lines(spark, docs.limit(0)).count() == 0 and paragraphs.find_repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_banding_of_lines_finds_nine_of_ten():
+    """Recall of the bands alone over pairs of lines of a similarity of 0.8 and little more."""
+    rng = np.random.default_rng(5)
+    found = total = 0
+    for _ in range(300):
+        x = np.unique(rng.integers(1, 2**62, 54).astype(np.uint64))
+        a, b = np.sort(x[:48]), np.sort(np.concatenate([x[:43], x[48:53]]))  # 43 of 53
+        keys = minhash.band_keys(minhash.signatures(np.repeat([0, 1], 48), np.concatenate([a, b]), 2, paragraphs.BANDS * paragraphs.ROWS), paragraphs.ROWS)
+        found, total = found + bool((keys[0] == keys[1]).any()), total + 1
+    assert found >= 0.97 * total
 
 
 def test_runs_inside_lines_are_found(spark):
@@ -227,16 +269,16 @@ def test_runs_inside_lines_are_found(spark):
 
 
 def test_short_paragraphs_have_rows(spark):
-    """Every line of a component that spans documents is told, with its component, whatever its length; lines of one document only are not."""
+    """Every line that repeats is told, with its component, whatever its length; shorter ones are not cut."""
     rng = random.Random(26)
     fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     long = fresh(30)
     near = " ".join([*long.split()[:-1], "other"])
     texts = [f"{fresh(9)}\n{long}\nAll rights reserved.", f"All rights Reserved.\n{fresh(9)}\nown line\nown line", f"{near}\n{fresh(8)}\nAll rights reserved.\nAll rights reserved.", "own words", None, ""]
     rows = paragraphs.find_repeats(spark, docs_of(spark, texts)).collect()
-    got = sorted((r["doc_id"], texts[r["doc_id"]][r["begin"] : r["end"]], r["n_words"], r["first_doc_id"], r["removed"], len(r["removals"])) for r in rows)
-    assert got == [(0, "All rights reserved.", 3, 0, False, 0), (0, long, 30, 0, False, 0), (1, "All rights Reserved.", 3, 0, True, 1)] + [(2, "All rights reserved.", 3, 0, True, 1)] * 2 + [(2, near, 30, 0, True, 1)]
-    assert len({r["component_id"] for r in rows if r["n_words"] == 3}) == 1 and len({r["component_id"] for r in rows}) == 2 and None not in {r["component_id"] for r in rows}
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["begin"] : r["end"]], r["n_words"], r["first_doc_id"], r["first"]) for r in rows)
+    assert got == [(0, "All rights reserved.", 3, 0, True), (0, long, 30, 0, True), (1, "All rights Reserved.", 3, 0, False), (1, "own line", 2, 1, False), (1, "own line", 2, 1, True)] + [(2, "All rights reserved.", 3, 0, False)] * 2 + [(2, near, 30, 0, False)]
+    assert len({r["component_id"] for r in rows if r["n_words"] == 3}) == 1 and len({r["component_id"] for r in rows}) == 3 and not any(r["removed"] or r["passage"] for r in rows)
     assert {r["doc_id"]: r["text"] for r in paragraphs.cut_paragraphs(spark, docs_of(spark, texts)).collect()} == dict(enumerate(texts))
 
 
