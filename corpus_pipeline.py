@@ -1,7 +1,8 @@
 """The stages that turn raw documents into encoded training text, one after another.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; whoever runs them writes each result as Parquet and
-reads it again as the next one's docs.
+reads it again as the next one's docs. All take nulls in any column, empty and very long texts and repeated rows, keep
+columns of any name, and give no rows for no rows; what each does with them is said by the operator that it calls.
 """
 
 from __future__ import annotations

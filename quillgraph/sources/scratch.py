@@ -10,6 +10,26 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: What is sent to all executors is of so many bytes at most, whatever its rows.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(table: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> bool:
+    """May this written table be broadcast? It has so many rows and bytes of values at most: both are counted. Columns of other kinds than text, bytes and single values count as their JSON."""
+    size = F.lit(0).cast("long")
+    for f in table.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + F.lit(8)
+    n = table.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n[0] <= rows and n[1] <= most
 
 
 def shared_folder(spark: SparkSession) -> str:
