@@ -10,6 +10,10 @@ from quillgraph.sources.scratch import Scratch
 from quillgraph.llm.textbytes import mapped
 
 
+#: Trees of so many edges at most, left over by all tasks, are joined by one; more by star contraction.
+LOCAL_EDGES = 250_000
+
+
 def _forest(batches):
     """Union-find over one task's links: each node but the smallest of its tree, with that smallest one."""
     parent: dict[int, int] = {}
@@ -34,13 +38,15 @@ def _forest(batches):
 def connected(scratch: Scratch, links: DataFrame) -> DataFrame:
     """links (two columns of node numbers) -> node, root: every linked node but the smallest of each component, with that smallest one.
 
-    Each task first reduces its links to a forest. Then, until nothing changes, every node's larger neighbours and next
-    its smaller ones are tied to the smallest neighbour; the number of rounds grows with the logarithm of a component's
-    size. Minima are aggregated before they are shuffled, and are written before they are joined, so that a node with
+    Each task first reduces its links to a forest. If LOCAL_EDGES edges at most are left, one task joins the trees. Else,
+    until nothing changes, every node's larger neighbours and next its smaller ones are tied to the smallest neighbour;
+    the number of rounds grows with the logarithm of a component's size. Minima are aggregated before they are shuffled, and are written before they are joined, so that a node with
     very many links is split over tasks. Loops and repeated links do nothing; no links: no rows.
     """
     a, b = links.columns
     edges = scratch.table(links.select(a, b).where(F.col(a) != F.col(b)).transform(mapped, _forest, "node long, root long").distinct())
+    if edges.count() <= LOCAL_EDGES:
+        return scratch.table(edges.coalesce(1).transform(mapped, _forest, "node long, root long"))
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root") % 1_000_000_007)).first()

@@ -29,6 +29,8 @@ SKETCH_BITS = 22
 BROADCAST_IDS = 1_000_000
 #: 64-bit words of parity bits of each set.
 PARITY = 8
+#: Pairs of sets that both have so many rare elements at most meet once, others at each one that they share.
+MOST_BEFORE = 64
 
 
 def _step(i: int) -> np.uint64:
@@ -126,14 +128,14 @@ _PARITIES = [f"p{i}" for i in range(PARITY)]
 
 
 def _prefixes(counts, bits: int, num: int, den: int):
-    """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity, and the set's parity bits."""
+    """The rarest elements of each set, as many as two sets must share one of to be linked, with their places in the order of rarity, the rarer ones before them (unless there are many), and the set's parity bits."""
 
     def run(batches):
         often = counts.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                element, place, size, parity = [], [], [], []
+                element, place, size, parity, before = [], [], [], [], []
                 for x in part.column("elements"):
                     x = np.frombuffer(x.as_buffer(), U)
                     n = len(x) - -(-num * len(x) // den) + 1
@@ -141,10 +143,14 @@ def _prefixes(counts, bits: int, num: int, den: int):
                     place.append(np.arange(n))
                     size.append(np.full(n, len(x)))
                     parity.append(np.repeat(_parity(x)[None], n, axis=0))
+                    rare = element[-1].view(np.int64)
+                    before += [rare[:i] for i in range(n)] if n <= MOST_BEFORE else [rare[:0]] * n
                 row = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in element]))
                 flat = [np.concatenate(c) if c else np.zeros(0) for c in (element, place, size)]
                 bits_ = np.concatenate([*parity, np.zeros((0, PARITY), np.int64)])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), *[pa.array(bits_[:, i]) for i in range(PARITY)]], names=["id", "part", "element", "place", "size", *_PARITIES])
+                ends = np.concatenate([[0], np.cumsum([len(b) for b in before])]).astype(np.int32)
+                known = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*before, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("part").take(row), pa.array(flat[0].astype(U).view(np.int64)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), *[pa.array(bits_[:, i]) for i in range(PARITY)], known], names=["id", "part", "element", "place", "size", *_PARITIES, "before"])
 
     return run
 
@@ -165,16 +171,17 @@ def _prefix_pairs(scratch: Scratch, sets: DataFrame, num: int, den: int) -> Data
     for batch in sets.select("elements").transform(mapped, _slots(bits), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow().to_batches():
         often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(often, np.iinfo(np.uint32).max).astype(np.uint32))
-    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int, " + ", ".join(f"{p} long" for p in _PARITIES)))
+    rows = scratch.table(sets.transform(mapped, _prefixes(shared, bits, num, den), "id long, part long, element long, place int, size int, " + ", ".join(f"{p} long" for p in _PARITIES) + ", before array<long>"))
     common = rows.groupBy("element", "part").count().groupBy("element").agg(F.max(F.struct("count", "part")).alias("m"), F.count("*").alias("parts"))
     common = scratch.table(common.where("parts > 1").select("element", F.col("m.part").alias("main")))
     rows = scratch.table(rows.join(common, "element"))
-    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size", *_PARITIES)])
+    x = rows.where("part <> main").select("element", *[F.col(c).alias(f"x_{c}") for c in ("id", "part", "place", "size", "before", *_PARITIES)])
     o = F.ceil((F.col("size") + F.col("x_size")) * num / (num + den))
     fits = (F.col("place") <= F.col("size") - o) & (F.col("x_place") <= F.col("x_size") - o) & (F.least("size", "x_size") * den >= F.greatest("size", "x_size") * num)
     reach = F.least("place", "x_place") + F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place")) >= o
     apart = reduce(add, [F.bit_count(F.col(p).bitwiseXOR(F.col(f"x_{p}"))) for p in _PARITIES])
     fits &= F.col("size") + F.col("x_size") - apart >= 2 * o
+    reach &= ~F.arrays_overlap("before", "x_before")  # else they have met at a rarer element
     met = x.join(rows, "element").where((F.col("part") != F.col("x_part")) & ((F.col("part") == F.col("main")) | (F.col("x_id") < F.col("id"))) & fits & reach)
     return met.select(F.least("x_id", "id").alias("a"), F.greatest("x_id", "id").alias("b")).distinct()
 
