@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.sources.scratch import Scratch
+from quillgraph.sources.scratch import Scratch, small
 from quillgraph.llm.textbytes import mapped
 
 #: Winning paths are sent to all executors only up to so many hosts (of at most MOST_PATH letters each).
@@ -24,13 +24,15 @@ BROADCAST_HOSTS, MOST_PATH = 100_000, 400
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml xmp noembed noframes".split())
 _NEVER = frozenset("head nav aside footer form button select option menu dialog label fieldset canvas object audio video".split()) | _RAW
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mrow mi mn mo ms mtext mspace mstyle msub msup msubsup mfrac msqrt mroot mover munder munderover mfenced".split())
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl pre blockquote figure figcaption caption address hr summary details".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}}
 _BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|banner|promo|promotion|sponsor(?:ed)?|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|reader-comments|widget|tags?|pager|pagination|skip|toolbar|hidden)(?:$|[\s_-])", re.I)
+#: Within an article a name is held against an element only if all its parts are such words or these.
+_PARTS = frozenset("box bar list section block container wrapper wrap links link posts post articles article stories area content inner outer unit slot top bottom left right main site page global primary secondary buttons button icons icon form items item group panel module holder region thread policy message and of the in by".split())
 _ENTRY = re.compile(r"[.-](?:article|post|entry|story)(?:$|[.-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
@@ -81,7 +83,7 @@ class Page:
             at = m.end()
             if m[2] is None:
                 if m[0].startswith("<![CDATA["):
-                    add(entities.unescape(m[0][9:]).removesuffix("]]>"))
+                    add(m[0][9:].removesuffix("]]>"))
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -132,15 +134,17 @@ class Page:
         flush()
 
     def best(self) -> int:
-        """The container with the highest score: what its own blocks weigh, and half of what its children's do; the first of equals."""
+        """The container with the highest score: what its own blocks weigh, and half of what its children's do; the first of equals. Only those with a block in them or in a child are looked at."""
         own = [0.0] * len(self.paths)
+        held = {container for container, _, _ in self.blocks}
+        held |= {self.parents[i] for i in held}
         for container, text, linked in self.blocks:
             plain = len(text) - 2 * linked
             own[container] += plain if plain < 0 else plain * (1.0 if len(text) >= 40 or text[-1:] in ".!?…。" else 0.5)
         score = own[:]
         for i in range(len(own) - 1, 0, -1):
             score[self.parents[i]] += 0.5 * own[i]
-        return max(range(len(score)), key=lambda i: (score[i] * (1 + self.hints[i]), -i))
+        return max(sorted(held), key=lambda i: (score[i] * (1 + self.hints[i]), -i))
 
     def whole(self, best: int) -> int:
         """The container of the article that a container is part of: the outermost article element around it.
@@ -193,13 +197,14 @@ class Page:
         roots = {i for i, p in enumerate(self.paths) if p == path} if path is not None else set()
         if len(roots) == 1:  # this page's article may hold more than its host's others
             roots = {self.whole(*roots)}
+        found = self._within(roots)
+        return "\n".join(found if found or not self.blocks else self._within({self.whole(self.best())}))
+
+    def _within(self, roots: set[int]) -> list[str]:
         inside = [i in roots for i in range(len(self.paths))]
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]
-        found = [text for container, text, _ in self.blocks if inside[container]]
-        if found or not self.blocks:
-            return "\n".join(found)
-        return self.text(self.path())
+        return [text for container, text, _ in self.blocks if inside[container]]
 
 
 def _below(parent: str, name: str) -> str:
@@ -216,11 +221,18 @@ def _judge(tag: str, attributes: str, in_article: bool) -> tuple[str, float, boo
     names = f"{known.get('class', '')} {known.get('id', '')}"
     out = tag in _NEVER or (tag == "header" and not in_article) or known.get("role", "").lower() in _ROLES or known.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) is not None or "display:none" in known.get("style", "").replace(" ", "").lower()
     if not out and tag not in {"html", "body", "article", "main"}:
-        out = _BAD.search(names) is not None
+        out = any(map(_only_bad, names.split())) if in_article else _BAD.search(names) is not None
     hint = {"article": 1.0, "main": 0.6, "body": 0.0}.get(tag, 0.5 if _MAIN.search(names) else 0.0)
     return ".".join([tag, *classes]), hint, out
 
 
+def _only_bad(name: str) -> bool:
+    """Is this name made of words for what is no part of an article, as related-posts is and related-work is not?"""
+    parts = [p for p in re.split(r"[-_\d]+", name.lower()) if p]
+    bad = [_BAD.search(p) is not None for p in parts]
+    return _BAD.search(name.lower()) is not None and any(bad) and all(b or p in _PARTS for b, p in zip(bad, parts))
+
+
 def host_of(url: str | None) -> str | None:
     """The part of a URL between // and the next /, ? or #, in lower case, without user and port; null if there is none."""
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
@@ -256,7 +268,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     counted = votes.groupBy("host", "path").count()
     won = counted.groupBy("host").agg(F.min(F.struct((-F.col("count")).alias("n"), "path")).alias("w")).select(F.col("host").alias("_host"), F.col("w.path").alias("path"))
     won = Scratch(spark, "paths").table(won)
-    if won.count() <= BROADCAST_HOSTS:
+    if small(won, BROADCAST_HOSTS):
         won = F.broadcast(won)
     rows = pages.select("page_id", "url", "html", host.alias("_of")).join(won, F.col("_of") == F.col("_host"), "left")
     return rows.select("page_id", "url", "html", "path").transform(mapped, _extract, "page_id long, url string, text string, n_chars long")
