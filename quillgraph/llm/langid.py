@@ -7,7 +7,6 @@ The network is trained in numpy on windows of a bounded sample of labelled texts
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -19,10 +18,10 @@ from pyspark.sql import functions as F
 from quillgraph.llm.textbytes import chunks, mapped, _LOWER
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: At most about so many labelled texts in all, as many of each language as may be, and so many windows of each.
-SAMPLE_TEXTS, WINDOWS_PER_TEXT = 3000, 3
+#: The network is fitted on about so many labelled texts at most, as many of each language as may be, and on so many
+#: windows of each, spread over the whole text; of longer texts, only on windows of LEAST_BYTES bytes or more.
+SAMPLE_TEXTS, WINDOWS_PER_TEXT, LEAST_BYTES = 3000, 3, 32
 EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 300, 64, 0.01
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -134,7 +133,7 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             take = np.unique(np.concatenate([np.linspace(a, b - 1, WINDOWS_PER_TEXT).astype(np.int64) for a, b in zip(first[:-1], first[1:])])) if batch.num_rows else first[:0]
             alone = np.diff(first)[owner[take]] == 1
-            take = take[(size[take] >= 32) | (alone & (size[take] > 0))]  # not the short rest of a longer text
+            take = take[(size[take] >= LEAST_BYTES) | (alone & (size[take] > 0))]  # not the short rest of a longer text
             text = pa.array(owner[take])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(text), batch.column("lang").take(text), pa.array([w.tobytes() for w in x[take]], pa.binary())], names=["doc_id", "lang", "bytes"])
 
@@ -145,7 +144,7 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, held_out, lang_pred, score for each row. Null text, text without a letter, or no network: und, 0. Equal texts get equal values. Other columns are dropped."""
+    """docs (doc_id, text) -> doc_id, held_out, lang_pred, score for each row. Null text, text without a letter (Unicode category L), or no network: und, 0. Of languages with equal probabilities, the first in code-point order. Equal texts get equal values. Other columns are dropped."""
     if net is not None:
         net.prepare()
 
@@ -155,7 +154,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
             some = letters[offsets[1:]] > letters[offsets[:-1]]
             for i in np.flatnonzero(~some).tolist():
-                some[i] = bool(_LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
+                some[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
             name, score = np.array(["und"] * n, object), np.zeros(n)
             if net is not None and n:
                 x, owner, size = windows_of(data, offsets)
