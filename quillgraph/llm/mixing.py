@@ -1,16 +1,17 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Sizes are summed by source before anything is joined. Each source's repetition rate is its target over its size;
-a document is emitted floor(rate) times, and once more if a hash of its id, seen as a number from 0 to 1, is below the
-rate's fraction.
+a document is emitted floor(rate) times, and once more if a hash of its id (without one, of its text), seen as a number
+from 0 to 1, is below the rate's fraction.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.sources.scratch import Scratch
+from quillgraph.operators.order import with_position
+from quillgraph.sources.scratch import Scratch, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -23,46 +24,54 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+def targets(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """sized (source, size) -> source, source_size, target: one row for each source, null being one.
 
     Sources in code-point order, null last, get the weights in turn. Together the targets are the sum of all sizes, in
-    proportion to weight, but none exceeds `most` times its source's size: sources are put in order of size over weight;
-    those before the first that its share fits are at their cap, and the others share what is left. The windows run over
-    one row a source.
+    proportion to weight, but none exceeds `most` times its source's size: those whose share is above it are held there,
+    and what they leave is shared anew by the others, until none is above. Each round is one sum over the sources, and
+    positions are counted by ranges, so sources may be as many as documents.
     """
-    by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
-    order = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    total, cap = F.sum("source_size").over(everything).cast("double"), F.col("source_size").cast("double") * most
-    by = by.withColumns({"total": total, "cap": cap})
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    by = by.withColumn("fits", F.col("cap") * left >= (F.col("total") - before) * F.col("w"))
-    full = F.sum(F.when(~F.col("fits"), F.col("cap")).otherwise(0.0)).over(everything)
-    share = F.sum(F.when(F.col("fits"), F.col("w")).otherwise(0.0)).over(everything)
-    by = by.withColumns({"full": full, "share": share})
-    target = F.when(F.col("fits"), (F.col("total") - F.col("full")) * F.col("w") / F.col("share")).otherwise(F.col("cap"))
-    return by.select("source", "source_size", target.alias("target"))
-
-
-def copies(doc_id: Column, source_size: Column, target: Column, seed: str = "mix", most: int = MOST_COPIES) -> Column:
-    """How often a document is emitted. Rows of one id get equal numbers; a null id counts as the empty one."""
+    by = Scratch(spark, "sources").table(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    by = with_position(by, F.col("source").asc_nulls_last(), name="_rank")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")
+    by = Scratch(spark, "sources").table(by.select("source", "source_size", w.alias("w"), (F.col("source_size").cast("double") * most).alias("cap")))
+    total = float(by.agg(F.sum("source_size")).first()[0] or 0)
+    # a source is held once its cap over its weight is below the level that the others share; the level only rises
+    level = 0.0
+    while True:
+        held = F.col("cap") / F.col("w") < level
+        full, share = by.agg(F.sum(F.when(held, F.col("cap")).otherwise(0.0)), F.sum(F.when(held, 0.0).otherwise(F.col("w")))).first()
+        up = (total - full) / share if share else level
+        if up <= level:
+            break
+        level, last = up, (full, share)
+    if not level:
+        return by.select("source", "source_size", F.lit(0.0).alias("target"))
+    fits = (F.lit(total) - F.lit(last[0])) * F.col("w") / F.lit(last[1])
+    return by.select("source", "source_size", F.least(fits, F.col("cap")).alias("target"))
+
+
+def drawn_by(doc_id: Column, text: Column) -> Column:
+    """What a document's draw is made from: its id, or without one a hash of its text."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def copies(key: Column, source_size: Column, target: Column, seed: str = "mix", most: int = MOST_COPIES) -> Column:
+    """How often a document of this drawn_by() is emitted. Rows of one id get equal numbers, and so do rows without an id of equal text."""
     rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     whole = F.floor(rate)
     return F.least(whole + F.when(draw < rate - whole, 1).otherwise(0), F.lit(most)).cast("long")
 
 
 def _with_rates(spark: SparkSession, docs: DataFrame, sized: DataFrame) -> DataFrame:
-    """docs (with a column source) and the three columns source_size, target and copies."""
-    rates = Scratch(spark, "mixing").table(targets(sized).coalesce(1)).withColumnRenamed("source", "_source")
-    if rates.count() <= BROADCAST_SOURCES:
+    """docs (with columns source and _key) and the three columns source_size, target and copies."""
+    rates = Scratch(spark, "mixing").table(targets(spark, sized)).withColumnRenamed("source", "_source")
+    if small(rates, BROADCAST_SOURCES):
         rates = F.broadcast(rates)
     out = docs.join(rates, docs["source"].eqNullSafe(rates["_source"])).drop("_source")
-    return out.withColumn("copies", copies(F.col("doc_id"), F.col("source_size"), F.col("target")))
+    return out.withColumn("copies", copies(F.col("_key"), F.col("source_size"), F.col("target"))).drop("_key")
 
 
 def plan(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -70,21 +79,21 @@ def plan(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Null or empty text: size 0, taken 0. A source without words: target 0. No rows: no rows. Other columns are dropped.
     """
-    sized = Scratch(spark, "sizes").table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sized = Scratch(spark, "sizes").table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), drawn_by(F.col("doc_id"), F.col("text")).alias("_key")))
     return _with_rates(spark, sized, sized).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Each row of docs as often as plan() says, with docs' columns; texts are not shuffled."""
+    """Each row of docs as often as plan() says, with docs' columns; texts are not shuffled. Null texts and texts without a word count as 0 words. No rows: no rows."""
     kept = docs.columns
-    rated = _with_rates(spark, docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "source"), docs.select("source", word_count(F.col("text")).alias("size")))
+    rated = _with_rates(spark, docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), "doc_id", "source", drawn_by(F.col("doc_id"), F.col("text")).alias("_key")), docs.select("source", word_count(F.col("text")).alias("size")))
     emitted = rated.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return emitted.select("_row.*")
 
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS key, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w,
         (sum(source_size) OVER ())::DOUBLE AS total, source_size * 3.0::DOUBLE AS cap FROM s),
@@ -94,7 +103,7 @@ t AS (SELECT source, source_size, CASE WHEN fits THEN
           (total - sum(CASE WHEN fits THEN 0.0::DOUBLE ELSE cap END) OVER ()) * w / sum(CASE WHEN fits THEN w ELSE 0.0::DOUBLE END) OVER ()
         ELSE cap END::DOUBLE AS target FROM f),
 d AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
+        ('0x' || substr(md5('mix:' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw
       FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   (least(floor(rate)::BIGINT + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END, 3) * size)::BIGINT AS taken FROM d
