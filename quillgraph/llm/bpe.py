@@ -317,7 +317,11 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
 
 
 def digests(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
+    """docs without its text, with n_tokens, ids_sha256 and decoded_sha256 of each whole text, for each row of docs.
+
+    Null text: as the empty one, of 0 tokens. Rows of equal text get equal values. Columns of docs with the names of new
+    ones give way to them; all others are kept, whatever their names. No rows: no rows.
+    """
     columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     return _map(docs, text, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda f: [f[1], hashlib.sha256(f[0].encode()).hexdigest(), hashlib.sha256(f[2]).hexdigest()], vocabulary, False)
 

@@ -81,3 +81,19 @@ def keep_one(spark: SparkSession, docs: DataFrame, n_words: int = 5, num: int =
         return stay
     one = stay.join(twice, stay["doc_id"] == twice["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return stay.join(twice, stay["doc_id"] == twice["doc_id"], "left_anti").unionAll(one)
+
+
+#: near_duplicates(docs, n_words=4), for tables whose doc_id is never null.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS g FROM w),
+d AS MATERIALIZED (SELECT doc_id, g, md5(array_to_string(g, chr(10))) AS h FROM g),
+c AS MATERIALIZED (SELECT h, min(doc_id) AS id, any_value(g) AS g FROM d WHERE len(g) > 0 GROUP BY h),
+s AS MATERIALIZED (SELECT id, len(g) AS n, unnest(g) AS x FROM c),
+p AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM s a JOIN s b ON a.x = b.x AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT id AS node, id AS root FROM c UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, len(d.g)::BIGINT AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, d.doc_id = coalesce(m.root, d.doc_id) AS kept
+FROM d LEFT JOIN c ON d.h = c.h AND len(d.g) > 0 LEFT JOIN m ON m.node = c.id
+"""

@@ -52,4 +52,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality, op3_paragraph_dedup, op4_exact_topk, op5_language_id, op6_mixing, op7_media, op8_bpe, op9_html_text, op10_suffix_dedup)}
-SQL = {"op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}
+SQL = {"op1_near_dedup": near_dedup.SQL, "op10_suffix_dedup": suffix_dedup.SQL, "op4_exact_topk": topk.SQL, "op6_mixing": mixing.SQL}

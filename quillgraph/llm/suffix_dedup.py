@@ -248,3 +248,21 @@ def without_spans(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> Dat
 def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the passages that a document of a smaller doc_id already has; see without_spans()."""
     return without_spans(spark, docs, repeated_passages(spark, docs).where("removed").select("doc_id", "begin", "end"))
+
+
+#: repeated_passages(docs).
+SQL = r"""
+WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS k FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+w AS MATERIALIZED (SELECT doc_id, list_transform(k, lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+', '')) AS w, list_transform(k, lambda x: length(x)) AS sizes FROM t),
+c AS MATERIALIZED (SELECT w, min(doc_id) AS id, max(doc_id) AS high FROM w WHERE len(w) >= 50 GROUP BY w),
+u AS (SELECT w.doc_id, unnest(range(1, len(w.w) + 1)) AS i, unnest(w.w) AS word, unnest(w.sizes) AS size FROM w WHERE doc_id IN (SELECT id FROM c)),
+b AS MATERIALIZED (SELECT doc_id, i, (sum(size) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS stop, length(word) AS letters FROM u),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE doc_id IN (SELECT id FROM c)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+y AS (SELECT x.doc_id, x.i, f.first, f.first <> x.doc_id AS removed FROM x JOIN f USING (h)),
+z AS (SELECT *, CASE WHEN i > 50 + lag(i) OVER o THEN 1 ELSE 0 END AS apart FROM y WINDOW o AS (PARTITION BY doc_id, removed ORDER BY i)),
+v AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, removed ORDER BY i) AS island FROM z),
+r AS (SELECT doc_id, removed, min(i) AS low, max(i) + 49 AS high, min(first) AS first_doc_id FROM v GROUP BY doc_id, removed, island)
+SELECT r.doc_id, a.stop - a.letters AS begin, e.stop AS "end", r.high - r.low + 1 AS n_words, r.first_doc_id, r.removed FROM r JOIN b a ON a.doc_id = r.doc_id AND a.i = r.low JOIN b e ON e.doc_id = r.doc_id AND e.i = r.high
+UNION ALL SELECT w.doc_id, length(sizes_text.lead), sizes_text.total, len(w.w), c.id, w.doc_id <> c.id FROM w JOIN c ON w.w = c.w AND c.id < c.high JOIN (SELECT doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') AS lead, length(regexp_replace(text, '[\x20\x09-\x0D]+$', '')) AS total FROM t) sizes_text ON sizes_text.doc_id = w.doc_id
+"""

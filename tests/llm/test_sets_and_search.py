@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -105,7 +105,9 @@ def test_superminhash_estimates_similarity():
     assert (few[0] < np.iinfo(np.uint64).max).all() and (few[1] == np.iinfo(np.uint64).max).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [components.LOCAL_EDGES, 0])
+def test_components(spark, most, monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_EDGES", most)
     rng = random.Random(0)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.connected(Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
@@ -325,26 +327,62 @@ def test_mixing_stays_in_the_jvm(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 3, 16, 20, 64]), st.integers(1, 60), st.sampled_from([2, 300, 2**30]))
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 3, 16, 20, 64]), st.integers(1, 60), st.sampled_from([2, 300, 2**30, 2**40]))
 def test_search_is_exact(seed, d, n, spread):
     rng = np.random.default_rng(seed)
     x = rng.integers(-spread, spread + 1, (n, d))
     x[rng.integers(0, n, n // 3)] = x[0]
     ids = rng.permutation(10 * n)[:n]
+    exact = lambda a, b: sum(int(u) * int(v) for u, v in zip(a, b))
+    if spread == 2**40:
+        x[:, 1:] >>= 24  # within 64 bits only if one component is large in few rows
+        x[1:, 0] >>= 22
+    assume(max(abs(exact(a, b)) for a in x for b in x) < 2**63)  # else an error; see below
     for (got, score), q, own in zip(topk.search(x, ids, x, ids, 5), x, ids):
-        s = x @ q
-        want = sorted(((-int(v), int(i)) for v, i in zip(s, ids) if i != own))[:5]
-        assert [(-int(v), int(i)) for i, v in zip(got, score)] == want
+        want = sorted(((-exact(c, q), int(i)) for c, i in zip(x, ids) if i != own))[:5]
+        assert [(-int(v), int(ids[i])) for i, v in zip(got, score)] == want
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    x = np.array([[2**62, 1], [4, 1], [2, 3]])
+    assert topk.search(x[1:], np.array([1, 2]), x[1:], np.array([1, 2]), 5)[0][1].tolist() == [11]
+    with pytest.raises(OverflowError):
+        topk.search(x[:1], np.array([0]), x, np.arange(3), 5)
 
 
 def test_nearest_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (50, [1.0, None]), (100, None), (150, [float("nan"), 1.0]), (200, [2.0, 1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [0.5]), (4, []), (None, [9.0, 9.0]), (2, [1.0, 2.0]), (5, [float("inf"), 0.0])]
-    got = [tuple(r) for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()]
-    best = {0: [(1, 5 * 65536), (2, 5 * 65536), (200, 4 * 65536), (3, 32768), (4, 0)], 200: [(0, 4 * 65536), (1, 4 * 65536), (2, 4 * 65536), (3, 65536), (4, 0)]}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"row": F.lit(1), "v": F.lit(2), "c": F.lit(3), "score": F.lit(4)})
+    got = [tuple(r) for r in topk.nearest(vectors).orderBy("query_id", "rank").collect()]
+    best = {0: [(1, 5 * 65536), (2, 5 * 65536), (2, 5 * 65536), (200, 4 * 65536), (3, 32768)], 200: [(0, 4 * 65536), (1, 4 * 65536), (2, 4 * 65536), (2, 4 * 65536), (3, 65536)]}
     assert got == [(q, i + 1, v, s) for q, found in best.items() for i, (v, s) in enumerate(found)]
     assert topk.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_of_repeated_queries(spark):
+    """Each row of an id is a query, and a candidate of the other one."""
+    rows = [(50, [1.0]), (50, [2.0]), (1, [1.0])]
+    got = sorted(tuple(r) for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(50, 1, 1, 131072), (50, 1, 50, 131072), (50, 2, 1, 65536), (50, 2, 50, 131072)]
+
+
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Each document its own source, in ranges and without a broadcast; rows without an id draw by their text."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(40), "en", f"s{rng.randrange(10**6)}", None) for i in range(400)] + [(None, f"word{i} " * 5, "en", "none", None) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes: dict = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = brute_targets(sizes)
+    got = mixing.plan(spark, docs).collect()
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in got) and len(got) == 800
+    mine = [r["copies"] for r in got if r["source"] == "none"]
+    rate = target["none"] / sizes["none"]
+    assert rate == int(rate) or len(set(mine)) == 2 and abs(sum(mine) / len(mine) - rate) < 0.1
+
+
 def test_pipeline(spark, tmp_path):
     """run() against the stages done by hand on collected rows."""
     sf = "/root/testdata/sf0.001"

@@ -84,6 +84,40 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_letters_are_of_category_l(spark):
+    """Numbers that are no letters (½, ², ①) are und; letters of any script are not, and extra columns of any name do no harm."""
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(["½ ² ①", "12 _", "你好", "ʰ", "words of a text", "words of a text", "ª"])], DOCS)
+    rows = {r["doc_id"]: r for r in langid.identify(docs.withColumns({"lang_pred": F.lit(1), "score": F.lit(2), "held_out": F.lit(3), "bytes": F.lit(4)})).collect()}
+    assert [rows[i]["lang_pred"] == "und" for i in range(7)] == [True, True, False, False, False, False, False]
+    assert rows[4]["score"] == rows[5]["score"]
+
+
+def test_network_against_plain_loops():
+    """Responses, pooling, softmax and the mean over windows, byte by byte."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = [b"the cat sat on the mat " * 20, b"der hund und die katze " * 30, b"x"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    x, owner, size = langid.windows_of(data, offsets)
+    net = langid.train(x, np.array([0, 0, 1, 1, 1, 0])[: len(x)], ["de", "en"])
+    net.bias, net.offset = rng.normal(0, 0.2, net.bias.shape), rng.normal(0, 0.2, net.offset.shape)
+    net.prepare()
+    got = net.probabilities(x)
+    for w, p in zip(x.tolist(), got):
+        hidden = []
+        for f in net.filters:
+            for j in range(f.shape[2]):
+                hidden.append(max(sum(float(f[i, w[at + i], j]) for i in range(len(f))) for at in range(len(w) - len(f) + 1)))
+        hidden = [max(h + b, 0) for h, b in zip(hidden, net.bias.tolist())]
+        z = [sum(h * d for h, d in zip(hidden, net.dense[:, k].tolist())) + net.offset[k] for k in range(2)]
+        e = [math.exp(v - max(z)) for v in z]
+        assert np.allclose(p, [v / sum(e) for v in e], atol=1e-5)
+
+
 def test_windows_cover_whole_texts():
     import numpy as np
 
@@ -112,6 +146,51 @@ def test_sparse_sites_are_shrunk(spark):
     assert found[1]["posterior"] > found[5000]["posterior"] > found[1000]["posterior"]
 
 
+def test_posteriors_by_hand(spark):
+    """Levels of hosts and folders, their strengths and the posterior, from the text's own probabilities in plain loops."""
+    import math
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    text = lambda i, good: f"plain words stand here number {i} and go on for a while." if good else f"Junk%%% {i}### words*** $$$ !!! %%%"
+    sites = ["https://U@Good.example:80/blog/a", "http://good.example/shop/b?x", "http://good.example/c", "bad.example", None, "", "http://bad.example/blog/z"]
+    rows = [(i, None if i == 9 else text(i, rng.random() < (0.2 if "bad" in (sites[i % 7] or "") else 0.8)), "en", sites[i % 7], None) for i in range(200)]
+    rows += [rows[3], (None, text(1, True), None, "bad.example", None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"host": F.lit(1), "path": F.lit(2), "p": F.lit(3), "logit": F.lit(4), "keep": F.lit(5)})
+    labels = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("text").startswith("plain"), 1).otherwise(0).alias("quality"), F.lit(1).alias("text"))
+    got = quality.score(spark, docs, labels).collect()
+    assert len(got) == len(rows)
+    place = {sites[0]: ("good.example", "blog"), sites[1]: ("good.example", "shop"), sites[2]: ("good.example", None), sites[3]: ("bad.example", None), None: (None, None), "": ("", None), sites[6]: ("bad.example", "blog")}
+    site = {r[0]: place[r[3]] for r in rows}
+    hosts, folders = defaultdict(list), defaultdict(list)
+    for r in got:
+        hosts[site[r["doc_id"]][0]].append(r["text_p"])
+        if site[r["doc_id"]][1]:
+            folders[site[r["doc_id"]]].append(r["text_p"])
+    every = [r["text_p"] for r in got]
+    mean = sum(every) / len(every)
+
+    def strength(groups):
+        n, k = sum(map(len, groups)), len(groups)
+        noise = sum(sum((p - sum(g) / len(g)) ** 2 for p in g) for g in groups) / (n - k)
+        spread = (sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups) - (k - 1) * noise) / (n - sum(len(g) ** 2 for g in groups) / n)
+        return min(max(mean * (1 - mean) / spread - 1, 1), 1e6) if spread > 1e-9 else 1e6
+
+    k_host, k_path = strength(list(hosts.values())), strength(list(folders.values()))
+    odds = lambda p: math.log(p / (1 - p))
+    for r in got:
+        host, folder = site[r["doc_id"]]
+        own = r["text_p"]
+        host_p = (k_host * mean + sum(hosts[host]) - own) / (k_host + len(hosts[host]) - 1)
+        path_p = (k_path * host_p + sum(folders[host, folder]) - own) / (k_path + len(folders[host, folder]) - 1) if folder else host_p
+        assert r["host_p"] == pytest.approx(min(max(host_p, 1e-4), 1 - 1e-4), rel=1e-6) and r["path_p"] == pytest.approx(min(max(path_p, 1e-4), 1 - 1e-4), rel=1e-6)
+        assert odds(min(max(r["posterior"], 1e-12), 1 - 1e-12)) == pytest.approx(odds(own) + odds(r["path_p"]) - odds(mean), rel=1e-4, abs=1e-4)
+    cut = min(r["posterior"] for r in got if r["keep"])
+    assert all(r["keep"] == (r["posterior"] >= cut) for r in got)  # equal ones alike
+    known = docs.select("doc_id", "text", "source", "lang", "n_chars").where("doc_id = 3")
+    assert len({r["posterior"] for r in quality.score(spark, known, labels).collect()}) == 1
+
+
 def test_quality_of_odd_documents(spark):
     labels = spark.createDataFrame([(3, 1), (3, None), (4, 0), (None, 1), (99, 1)], "doc_id long, quality int")
     docs = odd_docs(spark)
@@ -135,6 +214,28 @@ PAGE = """<html><body><div class="page"><header><h1>Site</h1></header><div id="m
 <div class="ad">buy</div><script>var a="</div>";</script>{extra}</div><div id="comments"><p>A reader says something here. And more of it, much more than the text.</p></div><aside>s</aside><form>f</form></div><footer>c</footer>"""
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<section></section><div><a href=x>menu link only</a></div>", "menu link only"),
+    ("<div><div><div><a href=x>one</a> <a href=y>two</a></div></div></div>", "one two"),
+    ("<article><p>Long text that stays here, of some length.</p><p class='side-note'>A side note.</p><div class='related-work'><p>Other work.</p></div><div class='related-posts'>gone</div><p class=advert>gone</p><ol class='comment-list'><li>gone</ol><div class='share'>gone</div></article>", "Long text that stays here, of some length.\nA side note.\nOther work."),
+    ("<article><p>The formula <math><mi>x</mi></math> holds.</p></article>", "The formula x holds."),
+    ("<article><p><![CDATA[&amp;lt; b]]></p></article>", "&lt; b"),
+    ("<p></p><div></div>", ""),
+])
+def test_pages_by_hand(source, want):
+    page = html_text.Page(source)
+    assert page.text(page.path()) == page.text("no such path") == page.text(None) == want
+
+
+def test_deep_pages_and_repeated_rows(spark):
+    """Elements in one another by thousands, many containers of one path, and rows that repeat."""
+    deep = "<div>" * 5000 + "<p>Deep text that is long enough to be read.</p>" + "</div>" * 5000
+    body = "<body><article>" + "<div class=part><p>A paragraph of the text, one of many.</p></div>" * 300 + "</article></body>"
+    pages = [(1, "http://a.example/", deep), (1, "http://a.example/", deep), (2, "http://b.example/", body), (None, None, body)]
+    rows = html_text.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"host": F.lit(1), "path": F.lit(2), "_host": F.lit(3)})).collect()
+    assert sorted((r["page_id"] or 0, r["text"].count("\n"), r["n_chars"]) for r in rows) == [(0, 299, 300 * 38 - 1), (1, 0, 41), (1, 0, 41), (2, 299, 300 * 38 - 1)]
+
+
 def test_html_votes_by_host(spark):
     pages = [(i, "http://U@Blog.example:80/a", PAGE.replace("{n}", str(i)).replace("{extra}", "")) for i in range(5)]
     # this page's comment-like block is larger than its article, but its host has decided
@@ -196,6 +297,13 @@ def test_op7(spark):
         png = media.to_png(payload)
         assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest()) and media.from_png(png) == payload
         assert by_text.setdefault(payload, r["feature"]) == r["feature"]
+        assert r["feature"] == f"n={len(payload)};sum={sum(payload)};distinct={len(set(payload))};changes={sum(a != b for a, b in zip(payload, payload[1:]))}"
+        body = b"".join(b"\x00" + payload[k : k + 64] for k in range(0, len(payload), 64))  # the stored form, part by part
+        at, parts = 8, {}
+        while at < len(png):
+            (n,) = struct.unpack(">I", png[at : at + 4])
+            parts[png[at + 4 : at + 8]], at = png[at + 8 : at + 8 + n], at + 12 + n
+        assert zlib.decompress(parts[b"IDAT"]) == body and struct.unpack(">IIBBBBB", parts[b"IHDR"]) == (64, len(payload) // 64, 8, 0, 0, 0, 0)
     assert media.media_table(spark, docs.limit(0)).count() == 0
 
 
@@ -207,7 +315,7 @@ def test_shards_are_tar_files(spark):
     for r in media.places(catalog).collect():
         with fs.open_input_file(f"{path}/{r['shard']}") as f:
             whole = f.read()
-        member = next(m for m in tarfile.open(fileobj=io.BytesIO(whole)).getmembers() if m.name == f"{r['digest']}.png")
+        member = next(m for m in tarfile.open(fileobj=io.BytesIO(whole)).getmembers() if m.name == f"{bytes(r['digest']).hex()}.png")
         assert (member.offset_data, member.size) == (r["at"], r["length"])
         assert whole[r["at"] :][:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">I", whole[r["at"] + 16 : r["at"] + 20])[0] == 64
 
