@@ -7,7 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# What counts as a token, and what stands between items of a list.
 TOKEN = r"(?U)\w+|[^\w\s]"
+ITEM_END = "\n=====\n\n"
 UNKNOWN = "UNKNOWN"
 
 
@@ -50,7 +52,7 @@ def tsv_row(*columns: Column) -> Column:
     return F.concat_ws("\t", *[F.coalesce(c, F.lit("")) for c in clean])
 
 
-def reference_item(position: Column, text: Column, separator: str = "\n=====\n\n") -> Column:
+def reference_item(position: Column, text: Column, separator: str = ITEM_END) -> Column:
     return F.concat(F.lit("["), position.cast("string"), F.lit("]  "), text, F.lit(separator))
 
 

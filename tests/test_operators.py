@@ -37,12 +37,43 @@ def test_ranking(spark):
 
 def test_fits():
     rows = ["x" * 9] * 20
-    count = lambda budgets, first=20: context.fits([(rows[:first], budgets[0]), (rows, budgets[1]), (rows, budgets[2])], [True, True, False])
+    count = lambda budgets, first=20: context.fits([(rows[:first], budgets[0]), (rows, budgets[1]), (rows, budgets[2])])
     assert count((35, 35, 35)) == [4, 4, 2]
     assert count((100, 35, 35), 3) == [3, 7, 7]
     assert count((-1, 35, 35)) == [0, 4, 3]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 12), max_size=8), st.integers(-1, 60)), min_size=1, max_size=4))
+def test_fits_like_a_row_by_row_count(tables):
+    """The rule of fits() one row at a time."""
+    pool, at, left = 0, [0] * len(tables), [b for _, b in tables]
+    go = True
+    while go:
+        start = pool
+        for i, (rows, _) in enumerate(tables):
+            turn = left[i] >= 0
+            while turn and at[i] < len(rows):
+                need = rows[at[i]] + 1
+                if need <= pool:
+                    pool, turn = pool - need, False
+                elif need <= left[i]:
+                    left[i] -= need
+                else:
+                    break
+                at[i] += 1
+            pool, left[i] = pool + max(left[i], 0), min(left[i], 0)
+        go = pool != start
+    assert context.fits([(["x" * n for n in rows], b) for rows, b in tables]) == at
+
+
+def test_context_markup(spark):
+    df = spark.createDataFrame([(1, 0, 1, "A\tan a"), (1, 2, 1, "[1]  text\n=====\n\n"), (2, 1, 1, "A\tB\tties")], "query_id long, part int, rank int, line string")
+    rows = {r["query_id"]: r["context"] for r in context.truncate_context(df, (100, 100, 100)).collect()}
+    assert rows[1] == "\n## Entities\n```csv\nname\tdescription\nA\tan a\n```\n\n## Relationships: Not provided\n\n\n## Sources\n\n[1]  text\n=====\n\n\n"
+    assert rows[2] == "\n## Entities: Not provided\n\n\n## Relationships\n```csv\nsource\ttarget\tdescription\nA\tB\tties\n```\n\n## Sources: Not provided\n"
+
+
 def test_truncation_stays_in_budget(spark):
     lines = [(1, p, i, "y" * (10 + i)) for p in range(3) for i in range(16)]
     df = spark.createDataFrame(lines, "query_id long, part int, rank int, line string")
@@ -64,6 +95,18 @@ def test_chunks_rebuild_the_text(body, size, overlap):
         assert any(before.endswith(after[:n]) for n in range(overlap + 1)) or not before
 
 
+@pytest.mark.parametrize("text, want", [
+    ("aaaa.bbbb.cccc", ["aaaa.", ".bbbb.", ".cccc"]),  # 5 + 4 leave less than 4 of 10 free
+    ("aaaaaaaaa.bb.cc", ["aaaaaaaaa.", ".bb.cc"]),  # the first piece has all of the room
+    ("aa.bb.cc.dd", ["aa.bb.", ".bb.cc.dd"]),
+    ("aaaaaaaaaaaa.b", ["", "aaaaaaaaaaaa.", ".b"]),
+    ("0123456789", ["0123456789"]),
+])
+def test_chunks_by_hand(text, want):
+    """Size 10, overlap 4, worked out on paper."""
+    assert chunking.split_text(text, 10, 4) == want
+
+
 def test_chunk_oversize_first_piece():
     assert chunking.split_text("x" * 50 + ".y", 20, 5)[0] == ""
 
