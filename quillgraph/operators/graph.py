@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.sources.scratch import Scratch
+from quillgraph.sources.scratch import Scratch, small
 
 DAMPING = 0.85
-#: Graphs of at most so many relations are solved by one task in numpy, larger ones by joins.
-LOCAL_EDGES = 2_000_000
+#: Graphs of at most so many relations (and BROADCAST_BYTES) are sent to all tasks, which solve questions of their own in numpy; larger ones are solved by joins.
+LOCAL_EDGES = 500_000
 
 
 def entity_relations(relations: DataFrame) -> DataFrame:
@@ -48,26 +48,40 @@ def _both_ways(relations: DataFrame) -> DataFrame:
     return pairs.join(degree, "u").select("u", "v", (F.col("n") / F.col("d")).alias("w"))
 
 
-def _solve(rounds: int, damping: float):
-    def run(key, links: pa.Table, seeds: pa.Table) -> pa.Table:
-        kinds = [("query_id", pa.int64()), ("idx", pa.string()), ("score", pa.float64())]
-        if not seeds.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in kinds})
-        names, index = np.unique(np.concatenate([links.column(c).to_numpy(zero_copy_only=False).astype(object) for c in ("u", "v")] + [seeds.column("name").to_numpy(zero_copy_only=False).astype(object)]).astype(str), return_inverse=True)
-        m = links.num_rows
-        u, v, w = index[:m], index[m : 2 * m], links.column("w").to_numpy()
-        queries, row = np.unique(seeds.column("query_id").to_numpy(), return_inverse=True)
-        found = []
-        for q, query in enumerate(queries.tolist()):
-            reset = np.bincount(index[2 * m :][row == q], seeds.column("weight").to_numpy()[row == q], len(names))
-            reset /= reset.sum()
-            p = reset
-            for _ in range(rounds):
-                moved = np.bincount(v, p[u] * w, len(names))
-                p = damping * moved + (1 - damping * moved.sum()) * reset
-            some = np.flatnonzero(p)
-            found.append((np.full(len(some), query), names[some], p[some]))
-        return pa.table({n: pa.array(np.concatenate([f[i] for f in found]).tolist(), t) for i, (n, t) in enumerate(kinds)})
+_SCORED = "query_id long, idx string, score double"
+
+
+def _solve(shared, rounds: int, damping: float):
+    """For mapInArrow over (query_id, name, weight), the rows of a question one after another: the scores of one question at a time."""
+
+    def solved(names: np.ndarray, place: dict, links, query: int, seeds: dict[str, float]) -> pa.RecordBatch:
+        u, v, w = links
+        extra = [n for n in seeds if n not in place]
+        size = len(names) + len(extra)
+        at = [place[n] if n in place else len(names) + extra.index(n) for n in seeds]
+        reset = np.bincount(at, list(seeds.values()), size)
+        reset /= reset.sum()
+        p = reset
+        for _ in range(rounds):
+            moved = np.bincount(v, p[u] * w, size)
+            p = damping * moved + (1 - damping * moved.sum()) * reset
+        some = np.flatnonzero(p)
+        known = pa.array(np.concatenate([names, np.array(extra, object)])[some], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), query), pa.int64()), known, pa.array(p[some])], names=["query_id", "idx", "score"])
+
+    def run(batches):
+        names, *links = shared.value
+        place = {n: i for i, n in enumerate(names)}
+        now, seeds = None, {}
+        for batch in batches:
+            for query, name, weight in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if query != now:
+                    if seeds:
+                        yield solved(names, place, links, now, seeds)
+                    now, seeds = query, {}
+                seeds[name] = seeds.get(name, 0.0) + weight
+        if seeds:
+            yield solved(names, place, links, now, seeds)
 
     return run
 
@@ -81,9 +95,13 @@ def personalized_pagerank(relations: DataFrame, seeds: DataFrame, rounds: int =
     links = _both_ways(relations)
     scratch = Scratch(relations.sparkSession, "pagerank")
     links = scratch.table(links)
-    if links.count() <= local_edges:
-        one = F.lit(1)
-        return links.groupBy(one.alias("k")).cogroup(seeds.select("query_id", "name", F.col("weight").cast("double")).groupBy(one.alias("k"))).applyInArrow(_solve(rounds, damping), "query_id long, idx string, score double")
+    if small(links, 2 * local_edges):  # each relation is two links at most
+        table = links.toArrow()
+        ends = [np.array(table.column(c).to_pylist(), object) for c in ("u", "v")]
+        names, index = np.unique(np.concatenate([*ends, np.zeros(0, object)]), return_inverse=True)
+        shared = scratch.spark.sparkContext.broadcast((names, index[: len(ends[0])].astype(np.int32), index[len(ends[0]) :].astype(np.int32), table.column("w").to_numpy()))
+        asked = seeds.select("query_id", "name", F.col("weight").cast("double")).repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "query_id").sortWithinPartitions("query_id")
+        return asked.mapInArrow(_solve(shared, rounds, damping), _SCORED)
     total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
     reset = scratch.table(seeds.groupBy("query_id", "name").agg(F.sum("weight").alias("w0")).join(total, "query_id").select("query_id", F.col("name").alias("idx"), (F.col("w0") / F.col("total")).alias("r")))
     p = reset.withColumnRenamed("r", "score")

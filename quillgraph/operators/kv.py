@@ -19,13 +19,13 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     both = store.select("key", "idx", F.col("value").alias("_old"))
     kept = both.join(latest.select("key", "value"), "key", "left").select("key", "idx", F.coalesce("value", "_old").alias("value"))
     fresh = with_position(latest.join(store.select("key"), "key", "left_anti"), F.col("ord"), F.col("key"), name="n")
-    top = store.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("m"))
-    used = store.select("idx")
-    free = top.where("m > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m").cast("bigint") - 1)).alias("idx")).join(used, "idx", "left_anti")
+    top = store.agg(F.max("idx")).first()[0]
+    top = 0 if top is None else int(top) + 1
+    free = store.sparkSession.range(top).select(F.col("id").alias("idx")).join(store.select(F.col("idx").cast("long")), "idx", "left_anti")
     free = with_position(free, F.desc("idx"), name="n").withColumnRenamed("idx", "_free")
     size = free.count()
-    placed = fresh.join(free, "n", "left").crossJoin(F.broadcast(top))  # top is one row
-    return kept.unionByName(placed.select("key", F.coalesce("_free", F.col("m") + F.col("n") - size).cast(store.schema["idx"].dataType).alias("idx"), "value"))
+    placed = fresh.join(free, "n", "left").withColumn("idx", F.coalesce("_free", F.col("n") + (top - size)).cast(store.schema["idx"].dataType)).select("key", "idx", "value")
+    return kept.unionByName(placed)
 
 
 def delete(store: DataFrame, keys: DataFrame) -> DataFrame:

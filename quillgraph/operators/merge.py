@@ -18,12 +18,13 @@ def merge_entities(new: DataFrame, stored: DataFrame | None = None, limit: int =
     """new (ord, name, type, description) and stored (name, type, description) -> name, type, description, oversize: a row for each new name.
 
     Descriptions are joined by line feeds in order of arrival, the stored one last; the type is the most frequent one, of
-    equals the first to arrive. oversize marks descriptions that a summariser should shorten.
+    equals the first to arrive. oversize marks descriptions that a summariser should shorten. All descriptions of a name
+    meet in one row, as its description is one text: that is as long as the graph's users let it grow, see plans.policies.
     """
     rows = new.select("name", "type", "description", F.lit(0).alias("_late"), "ord")
     if stored is not None:
         known = stored.join(new.select("name").distinct(), "name", "left_semi")
-        rows = rows.unionByName(known.select("name", "type", "description", F.lit(1).alias("_late"), F.lit(0).cast(new.schema["ord"].dataType).alias("ord")))
+        rows = rows.unionByName(known.select("name", "type", "description", F.lit(1).alias("_late"), F.lit(None).cast(new.schema["ord"].dataType).alias("ord")))
     types = rows.groupBy("name", "type").agg(F.count("*").alias("n"), F.min(F.struct("_late", "ord")).alias("first"))
     kind = types.groupBy("name").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "type")).alias("t")).select("name", F.col("t.type").alias("type"))
     texts = rows.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_late", "ord", "description"))), lambda x: x["description"]), "\n").alias("description"))
@@ -64,13 +65,13 @@ def same_description(descriptions: list[str]) -> list[tuple[list[int], str]]:
 def apply_groups(edges: list[dict], groups: list[tuple[list[int], str]]) -> list[dict]:
     """Edges of one pair (stored ones first) after merging the groups (positions, new description), in the groups' order.
 
-    Positions past the end are ignored, and groups of fewer than two. The first of a group gets the description and
+    Positions that are none of theirs are ignored, negative ones too, and groups of fewer than two. The first of a group gets the description and
     all chunks of the group and stays, even if an earlier group dropped it; the others go.
     """
     kept = {i: dict(e) for i, e in enumerate(edges)}
     gone: set[int] = set()
     for ids, description in groups:
-        ids = [i for i in dict.fromkeys(ids) if -len(edges) <= i < len(edges)]
+        ids = [i for i in dict.fromkeys(ids) if 0 <= i < len(edges)]
         if len(ids) < 2:
             continue
         first, *rest = ids
@@ -106,9 +107,14 @@ def merge_edges(new: DataFrame, stored: DataFrame, grouper: Callable[[list[str]]
     return rows.where("NOT _merge").select(columns).unionByName(merged)
 
 
-def identity_edges(vectors: DataFrame, relations: DataFrame, k: int = 3, least: float = 0.9) -> DataFrame:
-    """vectors (id, name, embedding) -> source, target, description "is", chunks []: each entity and those of its k nearest (itself one of them) that are alike, come later and aren't adjacent yet."""
-    found = knn(vectors.select(F.col("id").alias("query_id"), "embedding"), vectors, k).where((F.col("score") >= least) & (F.col("id") > F.col("query_id")))
+def identity_edges(vectors: DataFrame, relations: DataFrame, k: int = 3, least: float = 0.9, fresh: DataFrame | None = None, search: Callable = knn) -> DataFrame:
+    """vectors (id, name, embedding) -> source, target, description "is", chunks []: each entity and those of its k nearest (itself one of them) that are alike, come later and aren't adjacent yet.
+
+    fresh: only these entities (id, embedding) are asked about, by default all. search: knn(), or an approximate one.
+    """
+    asked = (vectors if fresh is None else fresh).select(F.col("id").alias("query_id"), "embedding")
+    found = search(asked, vectors, k).where(F.col("score") >= least)
+    found = found.where(F.col("id") > F.col("query_id")) if fresh is None else found.where(F.col("id") != F.col("query_id")).select(F.least("id", "query_id").alias("query_id"), F.greatest("id", "query_id").alias("id"), "score").dropDuplicates(["query_id", "id"])
     names = vectors.select("id", "name")
     pairs = found.join(names.select(F.col("id").alias("query_id"), F.col("name").alias("source")), "query_id").join(names.withColumnRenamed("name", "target"), "id")
     return not_adjacent(pairs.select("source", "target"), relations).select("source", "target", F.lit("is").alias("description"), F.array().cast("array<bigint>").alias("chunks"))

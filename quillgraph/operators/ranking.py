@@ -10,6 +10,11 @@ def _by_score():
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "idx")
 
 
+def identity(scores: DataFrame) -> DataFrame:
+    """The policy that cuts nothing."""
+    return scores
+
+
 def sorted_scores(scores: DataFrame) -> DataFrame:
     """Nonzero scores with their rank from 1, best first, ties by idx."""
     return scores.where("score <> 0").withColumn("rank", F.row_number().over(_by_score()))

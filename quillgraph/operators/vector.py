@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.vectors import normalised
 
@@ -21,23 +22,40 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     lists = table.column("v").combine_chunks()
     ids = table.column("id").to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(ids), -1)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if len(size) and (size != size[0]).any():
+        raise ValueError(f"vectors of {size.min()} and of {size.max()} components are in one store")
+    x = flat.reshape(len(ids), int(size[0]) if len(size) else 0)
     return ids, x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def knn(queries: DataFrame, store: DataFrame, k: int, metric: str = HALF, digits: int = 12) -> DataFrame:
-    """queries (query_id long, embedding) x store (id long, embedding) -> query_id, id, score, rank: the k best of the store (all, if it has fewer), ties to the smaller id. Scores are rounded to `digits` before they are ranked. Null vectors take no part; all others are of one length."""
-    n, m = store.count(), queries.count()
-    n_cells, q_cells = -(-n // CANDIDATES_PER_CELL) or 1, -(-m // QUERIES_PER_CELL) or 1
-    cell = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.where("embedding IS NOT NULL").select(every(n_cells).alias("c"), cell(F.col("query_id"), q_cells).alias("q"), F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("v"))
-    right = store.where("embedding IS NOT NULL").select(cell(F.col("id"), n_cells).alias("c"), every(q_cells).alias("q"), F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+def _rows(df: DataFrame, within: str | None):
+    """How many rows df has, or a table of how many each value has. Columns that are not needed for it are not computed."""
+    return df.groupBy(within).agg(F.count("*").alias("n")) if within else df.select("embedding").count()
+
+
+def knn(queries: DataFrame, store: DataFrame, k: int, metric: str = HALF, digits: int = 12, within: str | None = None) -> DataFrame:
+    """queries (query_id long, embedding) x store (id long, embedding) -> query_id, id, score, rank: the k best of the store (all, if it has fewer), ties to the smaller id. Scores are rounded to `digits` before they are ranked. within: a column of both; only rows with equal values in it meet, however many have one value. Null vectors take no part; all others are of one length, or the job fails."""
+    n, m = _rows(store, within), _rows(queries, within)
+    group, keys = ([F.col(within).alias("_g")], ["_g"]) if within else ([], [])
+    cells = lambda c: F.greatest(F.ceil(c), F.lit(1)).cast("int")
+    if within:  # each value has as many cells as its own rows fill
+        sizes = n.withColumnRenamed("n", "_n").join(m.withColumnRenamed("n", "_m"), within)
+        n_cells, q_cells = cells(F.col("_n") / CANDIDATES_PER_CELL), cells(F.col("_m") / QUERIES_PER_CELL)
+        queries, store = queries.join(sizes, within), store.join(sizes, within)
+    else:
+        n_cells, q_cells = F.lit(-(-n // CANDIDATES_PER_CELL) or 1), F.lit(-(-m // QUERIES_PER_CELL) or 1)
+    cell = lambda c, count: F.pmod(F.xxhash64(c), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = queries.where("embedding IS NOT NULL").select(*group, every(n_cells).alias("c"), cell(F.col("query_id"), q_cells).alias("q"), F.col("query_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    right = store.where("embedding IS NOT NULL").select(*group, cell(F.col("id"), n_cells).alias("c"), every(q_cells).alias("q"), F.col("id").cast("long").alias("id"), F.col("embedding").alias("v"))
+
+    def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if a.num_rows and b.num_rows:
             (q_ids, q), (ids, x) = _matrix(a), _matrix(b)
+            if q.shape[1] != x.shape[1]:
+                raise ValueError(f"queries of {q.shape[1]} components, vectors of {x.shape[1]}")
             take = min(k, len(ids))
             found = []
             for at in range(0, len(q), 256):
@@ -47,10 +65,12 @@ def knn(queries: DataFrame, store: DataFrame, k: int, metric: str = HALF, digits
                     some = some[np.lexsort((ids[some], -row[some]))][:take]
                     found.append((np.full(len(some), q_id), ids[some], row[some]))
             out = [np.concatenate([f[i] for f in found]) for i in range(3)]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        own = {within: pa.repeat(key[0], len(out[0]))} if within else {}
+        return pa.table({**own, "query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    met = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(meet, "query_id long, id long, score double")
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    schema = T.StructType([store.schema[within], *T.StructType.fromDDL("query_id long, id long, score double").fields]) if within else "query_id long, id long, score double"
+    met = left.groupBy(*keys, "c", "q").cogroup(right.groupBy(*keys, "c", "q")).applyInArrow(meet, schema)
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy(*([within] if within else []), "query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return best if metric == COSINE else best.withColumn("score", (F.col("score") + 1) / 2)
 
 
@@ -61,8 +81,9 @@ def score_all(queries: DataFrame, store: DataFrame, k: int = 1, threshold: float
 
 
 def normalise_scores(scores: DataFrame) -> DataFrame:
-    """Each query's scores over their sum."""
-    return scores.withColumn("score", F.col("score") / (F.sum("score").over(Window.partitionBy("query_id")) + 1e-8))
+    """Each query's scores over their sum, which is added up before anything is joined."""
+    total = scores.groupBy("query_id").agg(F.sum("score").alias("_total"))
+    return scores.join(total, "query_id").withColumn("score", F.col("score") / (F.col("_total") + 1e-8)).drop("_total")
 
 
 def strongest(scores: DataFrame, by: str = "query_id") -> DataFrame:
@@ -90,10 +111,5 @@ def query(queries: DataFrame, store: DataFrame, k: int = 10, least: float | None
 
 
 def tenant_query(queries: DataFrame, store: DataFrame, k: int, digits: int = 12) -> DataFrame:
-    """queries and store with a tenant column: the k best of the query's own tenant, by cosine."""
-    from quillgraph.functions.vectors import dot
-
-    a = queries.select("tenant", "query_id", normalised(F.col("embedding")).alias("q"))
-    b = store.select("tenant", "id", normalised(F.col("embedding")).alias("v"))
-    scored = a.join(b, "tenant").select("tenant", "query_id", "id", F.round(dot(F.col("q"), F.col("v")), digits).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("tenant", "query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    """queries and store with a tenant column: the k best of the query's own tenant, by cosine: tenant, query_id, id, score, rank. A large tenant is split into cells like any store."""
+    return knn(queries, store, k, COSINE, digits, within="tenant").select("tenant", "query_id", "id", "score", "rank")
