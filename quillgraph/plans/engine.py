@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import entity_text, entity_type, UNKNOWN
 from quillgraph.operators import chunking, context, graph, merge
 from quillgraph.plans import retrieval, services
+from quillgraph.plans.policies import Policies
 from quillgraph.sources.scratch import Scratch
 from quillgraph.sources.store import Store
 
@@ -38,6 +39,9 @@ class Engine:
     extractor: services.Extractor = field(default_factory=services.RuleExtractor)
     embedder: services.Embedder = field(default_factory=services.HashingEmbedder)
     writer: services.Writer = field(default_factory=services.QuotingWriter)
+    summariser: services.Summariser = field(default_factory=services.AllSentences)
+    policies: Policies = field(default_factory=Policies)
+    limits: services.Limits = field(default_factory=services.Limits)
     keep: int = 3
     rounds: int = 20
 
@@ -50,27 +54,32 @@ class Engine:
     def insert(self, docs: DataFrame) -> tuple[int, int, int]:
         """docs (doc_id, text, metadata as JSON): chunk, drop known chunks, extract, merge, embed, link, commit. Counts of entities, relations and chunks of the graph afterwards.
 
-        If nothing was extracted from the new chunks, they stay unknown and no version is written.
+        If nothing was extracted from the new chunks, they stay unknown and no version is written. A document one of whose
+        chunks failed to the last is left out whole, and its chunks stay unknown, so that it can be inserted again.
         """
         scratch, old = Scratch(self.spark, "insert"), self.tables()
         chunks = scratch.table(chunking.new_only(chunking.chunks_of(docs.select("doc_id", "text", "metadata")), old["chunks"]).select("doc_id", "pos", "id", "content", "metadata"))
-        mentions = scratch.table(services.extract(chunks, self.extractor))
-        order = F.struct("doc_id", "pos", "chunk_id", "a", "b", "description")
-        entities = mentions.where("kind = 'entity'").select(order.alias("ord"), F.col("a").alias("name"), entity_type(F.col("b"), self.entity_types).alias("type"), "description")
-        found = merge.merge_entities(entities.withColumn("ord", F.to_json("ord")), old["entities"]).withColumn("description", F.when(F.col("oversize"), F.substring("description", 1, merge.OVERSIZE)).otherwise(F.col("description"))).drop("oversize")
-        found = scratch.table(found)
+        answers = scratch.table(services.extract(chunks, self.extractor, self.limits))
+        mentions = services.whole_documents(answers)
+        arrival = F.struct("doc_id", "pos", "n")  # compared number by number: document 2 comes before document 10
+        entities = mentions.where("kind = 'entity'").select(arrival.alias("ord"), F.col("a").alias("name"), entity_type(F.col("b"), self.entity_types).alias("type"), "description")
+        found = scratch.table(self.policies.nodes(entities, old["entities"], self.policies.limit))
         if found.isEmpty():
             return self.counts(old)
+        limit, shorten = self.policies.limit, self.summariser.shorten
+        short = services.replaced(found.where("oversize").drop("oversize"), "description", lambda d: shorten(d, limit), ["description"], self.limits)
+        found = scratch.table(found.where("NOT oversize").drop("oversize").unionByName(short))
         all_entities = scratch.table(old["entities"].join(found.select("name"), "name", "left_anti").unionByName(found))
         edges = mentions.where("kind = 'relation'").select(F.xxhash64("chunk_id", "doc_id", "a", "b", "description").alias("edge_id"), F.col("a").alias("source"), F.col("b").alias("target"), "description", F.array("chunk_id").alias("chunks"))
         edges = merge.valid_edges(edges.dropDuplicates(["edge_id"]), all_entities)
-        relations = scratch.table(merge.merge_edges(edges, old["relations"]))
+        relations = scratch.table(self.policies.edges(edges, old["relations"], self.policies.grouper, self.policies.threshold))
         texts = found.select("name", entity_text(F.coalesce("type", F.lit(UNKNOWN)), F.col("name"), F.col("description")).alias("text"))
-        fresh = scratch.table(services.embed(texts, self.embedder).select(F.xxhash64("name").alias("id"), "name", "embedding"))
+        fresh = scratch.table(services.embed(texts, self.embedder, limits=self.limits).select(F.xxhash64("name").alias("id"), "name", "embedding"))
         vectors = scratch.table(old["vectors"].join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
-        alike = merge.identity_edges(vectors, relations).select(F.xxhash64("source", "target", F.lit("is")).alias("edge_id"), "source", "target", "description", "chunks")
-        relations = scratch.table(relations.unionByName(alike))
-        kept = old["chunks"].unionByName(chunks)
+        alike = merge.identity_edges(vectors, relations, self.policies.alike, self.policies.alike_least, fresh.select("id", "embedding"), self.policies.search)
+        relations = scratch.table(relations.unionByName(alike.select(F.xxhash64("source", "target", F.lit("is")).alias("edge_id"), "source", "target", "description", "chunks")))
+        failed = answers.where("kind = 'failed'").select("doc_id").distinct()
+        kept = old["chunks"].unionByName(chunks.join(failed, "doc_id", "left_anti"))
         new = {"entities": all_entities, "relations": relations, "chunks": kept, "vectors": vectors, "e2r": graph.entity_relations(relations), "r2c": graph.relation_chunks(relations, kept)}
         self.store.commit(new)
         self.store.vacuum()
@@ -86,14 +95,14 @@ class Engine:
         if t["vectors"].isEmpty():
             return None
         scratch = Scratch(self.spark, "query")
-        asked = scratch.table(services.ask_entities(questions, self.extractor))
+        asked = scratch.table(services.ask_entities(questions, self.extractor, self.limits))
         texts = retrieval.query_texts(asked).withColumn("text_id", F.xxhash64("query_id", "kind", "text")).dropDuplicates(["text_id"])
-        texts = scratch.table(services.embed(texts, self.embedder))
+        texts = scratch.table(services.embed(texts, self.embedder, limits=self.limits))
         weights = retrieval.entity_weights(texts, t["vectors"].select("id", "embedding"))
         seeds = scratch.table(weights.join(t["vectors"].select("id", "name"), F.col("idx") == F.col("id")).select("query_id", "name", F.col("score").alias("weight")).where("weight > 0"))
         p = scratch.table(graph.personalized_pagerank(t["relations"], seeds, self.rounds))
         chunks = t["chunks"].groupBy("id").agg(F.first("content").alias("content"), F.first("metadata").alias("metadata"))
-        return context.context_tables(p, t["entities"], t["relations"], chunks, t["e2r"], t["r2c"])
+        return context.context_tables(p, t["entities"], t["relations"], chunks, t["e2r"], t["r2c"], (self.policies.entities, self.policies.relations, self.policies.chunks))
 
     def query(self, questions: DataFrame, options: Options | None = None) -> DataFrame:
         """query_id, response, context for each question; empty questions, and those that nothing fits, get the fixed failure answer."""
@@ -106,10 +115,10 @@ class Engine:
         tables = tuple(map(scratch.table, tables))
         cut = context.truncate_context(context.context_lines(*tables), options.budgets)
         rows = asked.join(cut.select("query_id", "context"), "query_id", "left")
-        writer = self.writer
-        reply = F.udf(lambda q, c: None if c is None else writer.answer(q, c), "string")
-        answer = F.when(F.col("context").isNull(), NO_ANSWER).otherwise(F.lit("") if options.only_context else reply("text", "context"))
-        out = scratch.table(rows.select("query_id", answer.alias("response"), "context"))
+        rows = rows.withColumn("response", F.when(F.col("context").isNotNull(), F.lit("")))
+        if not options.only_context:
+            rows = services.replaced(rows.select("query_id", "text", "context", "response"), "response", self.writer.answer, ["text", "context"], self.limits)
+        out = scratch.table(rows.select("query_id", F.coalesce("response", F.lit(NO_ANSWER)).alias("response"), "context"))
         if not options.with_references:
             return out
         held = tables[2].groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "metadata", "content"))).alias("chunks"))

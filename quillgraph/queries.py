@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text, vectors
-from quillgraph.operators import chunking, context, graph, kv, merge, order, ranking, vector
+from quillgraph.operators import ann, chunking, context, graph, kv, merge, order, ranking, vector
 from quillgraph.plans import retrieval, services
 from quillgraph.sources import documents, star
 
@@ -344,7 +344,14 @@ def format_references(spark, sf_dir):
     return context.format_references(held.withColumn("response", F.lit("As [2][1] and [9] say, [3].")))
 
 
-@query()
+def _xml_sql(value: str) -> str:
+    return f"replace(replace(replace(replace({value}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(f"""WITH {_REL}, names AS (SELECT 'C' || c_custkey AS name, 'CUSTOMER' AS type, c_name AS description FROM customer UNION ALL SELECT 'S' || s_suppkey, 'SUPPLIER', s_name FROM supplier
+  UNION ALL SELECT 'N' || n_nationkey, 'NATION', n_name FROM nation UNION ALL SELECT 'R' || r_regionkey, 'REGION', r_name FROM region)
+  SELECT 1 AS part, name AS key, '<node id="' || {_xml_sql("name")} || '"><data key="type">' || {_xml_sql("type")} || '</data><data key="description">' || {_xml_sql("coalesce(description, '')")} || '</data></node>' AS line FROM names
+  UNION ALL SELECT 2, edge_id, '<edge source="' || {_xml_sql("source")} || '" target="' || {_xml_sql("target")} || '"><data key="relation">' || CASE left(source, 1) WHEN 'C' THEN 'lives in' WHEN 'S' THEN 'sells from' ELSE 'lies in' END || '</data></edge>' FROM rel""")
 def graphml_rows(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
     return graph.graphml_rows(g.entities, g.relations)
@@ -534,6 +541,13 @@ def extract_mentions(spark, sf_dir):
     return services.extract(chunks, services.RuleExtractor())
 
 
+@query()
+def ann_search(spark, sf_dir):
+    """Approximate neighbours of the rows that 50 divides: an inverted file, as many cells as its sample needs."""
+    store = _store(spark, sf_dir).select("id", "embedding")
+    return ann.search(ann.build(store), _asked(spark, sf_dir).select("query_id", "embedding"), 5, metric=vector.COSINE)
+
+
 @query()
 def query_entities(spark, sf_dir):
     return services.ask_entities(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), services.RuleExtractor())

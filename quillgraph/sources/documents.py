@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.text import content_id
 from quillgraph.operators.order import zipped
@@ -53,7 +55,8 @@ def queries_of(rows: DataFrame) -> DataFrame:
 def parse_subgraph(rows: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows with an extractor's JSON -> entities, relations, and the rows whose JSON can't be read.
 
-    Names, types and ends are in upper case, `desc` becomes description, other_relationships follow relationships.
+    Names, types and ends are in upper case, `desc` becomes description, other_relationships follow relationships. To
+    mend what can be mended first, put the column through repaired().
     """
     entity, edge = "array<struct<name:string,type:string,desc:string>>", "array<struct<source:string,target:string,desc:string>>"
     rest = [c for c in rows.columns if c != column]
@@ -66,6 +69,22 @@ def parse_subgraph(rows: DataFrame, column: str = "json") -> tuple[DataFrame, Da
     return entities, relations, bad
 
 
+@F.pandas_udf(T.StringType())
+def repaired(texts: pd.Series) -> pd.Series:
+    """A model's answer as plain JSON: without what stands around it, and with slips of notation mended. Null for text without any."""
+    import json
+
+    from quillgraph.functions.repair import read_json
+
+    def one(text):
+        try:
+            return None if text is None else json.dumps(read_json(text), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return texts.map(one)
+
+
 def write_vectors_json(vectors: DataFrame, path: str) -> None:
     """JSON lines of id and base-64 vector."""
     from quillgraph.functions.vectors import to_base64
@@ -77,3 +96,22 @@ def read_vectors_json(spark: SparkSession, path: str) -> DataFrame:
     from quillgraph.functions.vectors import from_base64
 
     return spark.read.schema("id long, vector string").json(path).select("id", from_base64("vector").alias("embedding"))
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results of a benchmark as one JSON array on the driver, indented by 4; rows stream through and are never held together."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, row in enumerate(results.toLocalIterator()):
+            lines = json.dumps(row.asDict(recursive=True), indent=4, ensure_ascii=False).split("\n")
+            f.write(("," if i else "") + "".join(f"\n    {line}" for line in lines))
+        f.write("\n]\n")
+
+
+def titles_in(context: Column, most: int = 8) -> Column:
+    """Titles of the passages that a rendered context lists under its sources, in order: what stands before the first colon of each item."""
+    sources = F.regexp_extract(context, r"(?s)## Sources\n(.*)$", 1)
+    found = F.regexp_extract_all(sources, F.lit(r"(?m)^\[\d+\]  ([^:\n]+):"), 1)
+    return F.slice(found, 1, most)

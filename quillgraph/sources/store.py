@@ -11,6 +11,14 @@ class InvalidStorageError(Exception):
     """No version can be read."""
 
 
+class InvalidStorageUsageError(Exception):
+    """A store is asked for what its state does not allow."""
+
+
+#: What Spark says of files that are there but are no tables of ours; all else may pass, and is raised as it is.
+_UNREADABLE = ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file", "PARQUET_COLUMN_DATA_TYPE_MISMATCH", "expected magic number")
+
+
 class Store:
     """<root>/<number>/<table>. A version is complete once its _DONE file exists; numbers are seconds, or follow the last one."""
 
@@ -41,7 +49,11 @@ class Store:
         return version
 
     def load(self, names: list[str], version: int | None = None) -> dict[str, DataFrame] | None:
-        """The tables of a version, by default the newest that can be read; None for an empty store. Versions that can't be read are set aside as 0__err_<number>."""
+        """The tables of a version, by default the newest that can be read; None for an empty store.
+
+        Versions whose files are missing or no tables are set aside as 0__err_<number>, but not one that is asked for by
+        number. Other faults, such as of the network, are raised and change nothing.
+        """
         known = self.versions() if version is None else [version]
         for v in known:
             try:
@@ -49,9 +61,12 @@ class Store:
                 for df in tables.values():
                     df.limit(1).collect()
                 return tables
-            except Exception as e:  # noqa: BLE001  whatever the reader raises, an older version may do
+            except Exception as e:
+                if not any(x in str(e) for x in _UNREADABLE):
+                    raise
                 error = e
-                self._fs().rename(self._path(v), self._path(f"0__err_{v}"))
+                if version is None:
+                    self._fs().rename(self._path(v), self._path(f"0__err_{v}"))
         if known:
             raise InvalidStorageError(f"no version under {self.root} can be read") from error
         return None
