@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.order import with_position
 from quillgraph.sources.scratch import Scratch, small
 
 DAMPING = 0.85
@@ -34,6 +35,27 @@ def edges_between(relations: DataFrame, pairs: DataFrame) -> DataFrame:
     return relations.join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
 
 
+def nodes(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (pos, name) with type and description of each entity, null where there is none."""
+    return asked.join(entities.select("name", "type", "description"), "name", "left").select("pos", "name", "type", "description")
+
+
+def insert_edges(relations: DataFrame, edges: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """relations with all edges (edge_id, source, target, description, chunks) put beside them, whatever pairs they tie.
+
+    Edges may name their ends by position instead (source_pos and target_pos, from 0 in the order of names), if entities
+    are given; both at once are an error. No edges: the relations as they are.
+    """
+    by_position = {"source_pos", "target_pos"} <= set(edges.columns)
+    if by_position == ({"source", "target"} <= set(edges.columns)) or by_position and entities is None:
+        raise ValueError("edges name their ends either by source and target, or by position among given entities")
+    if by_position:
+        place = with_position(entities.select("name").distinct(), F.col("name"))
+        end = lambda c: place.select(F.col("pos").alias(f"{c}_pos"), F.col("name").alias(c))
+        edges = edges.join(end("source"), "source_pos").join(end("target"), "target_pos")
+    return relations.unionByName(edges.select(relations.columns))
+
+
 def not_adjacent(pairs: DataFrame, relations: DataFrame) -> DataFrame:
     """Pairs (source, target) that no relation ties in either direction."""
     ends = lambda df: df.withColumns({"_a": F.least("source", "target"), "_b": F.greatest("source", "target")})

@@ -101,7 +101,7 @@ class Engine:
         weights = retrieval.entity_weights(texts, t["vectors"].select("id", "embedding"))
         seeds = scratch.table(weights.join(t["vectors"].select("id", "name"), F.col("idx") == F.col("id")).select("query_id", "name", F.col("score").alias("weight")).where("weight > 0"))
         p = scratch.table(graph.personalized_pagerank(t["relations"], seeds, self.rounds))
-        chunks = t["chunks"].groupBy("id").agg(F.first("content").alias("content"), F.first("metadata").alias("metadata"))
+        chunks = t["chunks"].groupBy("id").agg(F.min_by(F.struct("content", "metadata"), "doc_id").alias("c")).select("id", "c.*")  # of the first document
         return context.context_tables(p, t["entities"], t["relations"], chunks, t["e2r"], t["r2c"], (self.policies.entities, self.policies.relations, self.policies.chunks))
 
     def query(self, questions: DataFrame, options: Options | None = None) -> DataFrame:
@@ -125,6 +125,12 @@ class Engine:
         cited = context.format_references(out.join(held, "query_id").select("query_id", "response", "chunks"))
         return out.drop("response").join(cited, "query_id", "left").select("query_id", F.coalesce("response", F.lit(NO_ANSWER)).alias("response"), "context", "references")
 
+    def nodes(self, names: list[str]) -> list[tuple[str, str, str] | None]:
+        """Name, type and description of each of these entities, None for one that is not in the graph."""
+        asked = self.spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+        found = {r["pos"]: r for r in graph.nodes(self.tables()["entities"], asked).where("type IS NOT NULL").collect()}  # as many as were asked for
+        return [(found[i]["name"], found[i]["type"], found[i]["description"]) if i in found else None for i in range(len(names))]
+
     def save_graphml(self, path: str) -> None:
         t = self.tables()
         graph.write_graphml(t["entities"], t["relations"], path)

@@ -194,6 +194,7 @@ def test_policies_and_failing_writers(spark, tmp_path):
     e.policies = policies.Policies(nodes=policies.last_nodes, edges=policies.added_edges, entities=ranking.identity, search=ann.searcher(2))
     assert e.insert(docs)[2] == 2  # the document that failed stays unknown
     assert {r["description"] for r in e.tables()["entities"].where("name = 'ADA'").collect()} == {"Ada saw Bob in London"}
+    assert e.nodes(["ADA", "NOBODY"]) == [("ADA", "PHRASE", "Ada saw Bob in London"), None]
     rows = {r["query_id"]: r["response"] for r in e.query(asked).collect()}
     assert rows == {1: "WHO MET ADA?", 2: NO_ANSWER}
     e.writer = Sad()
@@ -205,6 +206,19 @@ def test_policies_and_failing_writers(spark, tmp_path):
     assert half.contexts(asked.where("text IS NOT NULL"))[1].count() == 0
 
 
+def test_edges_by_name_and_by_position(spark):
+    entities = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
+    none = spark.createDataFrame([], "edge_id long, source string, target string, description string, chunks array<long>")
+    named = spark.createDataFrame([(1, "a", "b", "d", [1]), (2, "a", "b", "d", None)], none.schema)
+    placed = spark.createDataFrame([(3, 2, 0, "e", [2])], "edge_id long, source_pos long, target_pos long, description string, chunks array<long>")
+    both = graph.insert_edges(graph.insert_edges(none, named), placed, entities)
+    assert sorted((r["edge_id"], r["source"], r["target"]) for r in both.collect()) == [(1, "a", "b"), (2, "a", "b"), (3, "c", "a")]
+    assert graph.insert_edges(named, none).count() == 2
+    for wrong in (named.withColumns({"source_pos": F.lit(0), "target_pos": F.lit(1)}), placed.drop("target_pos")):
+        with pytest.raises(ValueError):
+            graph.insert_edges(none, wrong, entities)
+
+
 def test_groups_of_a_careless_model():
     edges = [{"edge_id": i, "description": str(i), "chunks": [i]} for i in range(3)]
     assert merge.apply_groups(edges, [([-1, 0], "x"), ([0, 7], "y")]) == edges
