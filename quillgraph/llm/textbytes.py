@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 U = np.uint64
 #: Texts are worked on in pieces of about so many bytes, and reach Python in batches of so many rows at most.
 CHUNK_BYTES, BATCH_ROWS = 1 << 19, 1000
+#: Words of a longer text are found in pieces of about so many bytes.
+SEGMENT_BYTES = 1 << 22
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,9 +108,36 @@ def chunks(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words are runs of bytes other than 0x20 and 0x09-0x0D within a text: first bytes, ends, and hashes (of A-Z in lower case, if lower)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    """Words are runs of bytes other than 0x20 and 0x09-0x0D within a text: first bytes, ends, and hashes (of A-Z in lower case, if lower).
+
+    A very long text is worked on in pieces of about SEGMENT_BYTES that end with a word.
+    """
+    found, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))], 0
+    while at < len(data):
+        end = _cut(data, offsets, at)
+        inner = offsets[(offsets > at) & (offsets < end)] if end < len(data) or at else offsets
+        starts, ends, hashes = _words(data[at:end], np.unique(np.concatenate([[0], inner - at, [end - at]])), lower)
+        found.append((starts + at, ends + at, hashes))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found)) if len(found) != 2 else found[1]
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
+    """Where a piece that begins at `at` ends: after white space or a text, about SEGMENT_BYTES on; later, if one word is longer."""
+    end = at + SEGMENT_BYTES
+    if end >= len(data):
+        return len(data)
+    text = int(offsets[np.searchsorted(offsets, end, "right") - 1])
+    space = np.flatnonzero(_SPACE[data[at:end]])
+    if max(text, at + int(space[-1]) + 1 if len(space) else 0) > at:
+        return max(text, at + int(space[-1]) + 1 if len(space) else 0)
+    after = int(offsets[np.searchsorted(offsets, end)])
+    while end < after and not _SPACE[data[end : end + SEGMENT_BYTES]].any():
+        end += SEGMENT_BYTES
+    return after if end >= after else min(after, end + int(_SPACE[data[end : end + SEGMENT_BYTES]].argmax()) + 1)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]

@@ -134,6 +134,32 @@ def test_words_and_shingles(texts, n):
     assert np.bincount(owner, minlength=len(texts)).tolist() == [len(shingle_set(t, n)) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB \n\té", max_size=40), min_size=1, max_size=6), st.integers(1, 12))
+def test_words_in_pieces(texts, size):
+    """Pieces of any size give the words of the whole."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = textbytes.words(data, offsets, True)
+    old, textbytes.SEGMENT_BYTES = textbytes.SEGMENT_BYTES, size
+    try:
+        parts = textbytes.words(data, offsets, True)
+    finally:
+        textbytes.SEGMENT_BYTES = old
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts))
+
+
+def test_a_text_of_many_megabytes(spark):
+    """Longer than any piece: the same words and passages as anywhere else."""
+    rng = random.Random(9)
+    run = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
+    long = "filler words of the long text " * 200_000 + run + " x" * 1000
+    rows = suffix_dedup.repeated_passages(spark, docs_of(spark, [long, f"start {run} end"])).collect()
+    assert {(r["doc_id"], r["n_words"], r["first_doc_id"]) for r in rows} == {(0, 60, 0), (1, 60, 0)}
+    got = {r["doc_id"]: r["n_shingles"] for r in near_dedup.near_duplicates(spark, docs_of(spark, [long, run]), 4).collect()}
+    assert got[0] == len(shingle_set(long, 4)) and got[1] == 57
+
+
 def passages_of(texts: dict):
     """For each document the letters in runs of 50 words that other documents share: all, and those that a smaller document has."""
     words = {i: [(m.start(), m.end(), m[0]) for m in WORD.finditer(t or "")] for i, t in texts.items()}
