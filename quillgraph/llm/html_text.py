@@ -32,7 +32,7 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td
 _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tr": {"table"}}
 _BAD = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|banner|promo|promotion|sponsor(?:ed)?|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|reader-comments|widget|tags?|pager|pagination|skip|toolbar|hidden)(?:$|[\s_-])", re.I)
 #: Within an article a name is held against an element only if all its parts are such words or these.
-_PARTS = frozenset("box bar list section block container wrapper wrap links link posts post articles article stories area content inner outer unit slot top bottom left right main site page global primary secondary buttons button icons icon form items item group panel module holder region thread policy message and of the in by".split())
+_PARTS = frozenset("box bar list section block container wrapper wrap links link posts post articles article stories area content inner outer unit slot top bottom left right main site page global primary secondary buttons button icons icon form items item group panel module holder region thread policy message title heading media network toggle more this us and of the in by".split())
 _ENTRY = re.compile(r"[.-](?:article|post|entry|story)(?:$|[.-])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?:$|[\s_-])", re.I)
