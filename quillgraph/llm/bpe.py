@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 from quillgraph.llm.textbytes import mapped
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 TEXTS_AT_ONCE = 512
 #: Words of at most so many bytes are encoded together.
 SHORT = 32
