@@ -8,7 +8,9 @@ hardly counts. The document's posterior odds are its own, times the odds of its
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 from quillgraph.sources.scratch import Scratch, small
 from quillgraph.llm.textbytes import chunks, mapped, _SPACE, text_of, words
 
-#: At most about so many labelled documents fit the text model.
-SAMPLE_LABELS = 8000
 #: Sites are sent to all executors only up to so many.
 BROADCAST_SITES = 100_000
 #: Of the documents labelled good, so many may be rejected at most.
 LOST_GOOD = 0.005
+#: Values that reach the driver to pick one by its rank; of more, the range is narrowed first, in so many parts.
+PICKED, PARTS = 10_000, 1000
 _PUNCTUATION = b".,!?|%*#$&@+=<>:;-_/()[]{}\"'~^"
 
 
@@ -62,6 +64,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def _units(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features, in whole 1024ths between -8 and 8."""
+    return np.rint(np.clip((x - mean) / scale, -8, 8) * 1024)
+
+
 @dataclass
 class TextModel:
     mean: np.ndarray
@@ -71,44 +78,65 @@ class TextModel:
     prior: float  # share of good documents among those it was fitted on
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias, -12, 12)
+        return np.clip(_units(x, self.mean, self.scale) / 1024 @ self.weights + self.bias, -12, 12)
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> TextModel:
-    """Ridge logistic regression by Newton's method. With labels of one kind, or none, all weights are 0."""
-    n, d = x.shape
-    prior = float((y.sum() + 1) / (n + 2))
-    flat = TextModel(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))), prior)
-    if n == 0 or y.min() == y.max():
-        return flat
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((n, 1))], axis=1)
-    w, penalty = np.zeros(d + 1), np.append(np.full(d, ridge), 1e-6)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return TextModel(mean, scale, w[:-1], float(w[-1]), prior)
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, list]:
-    """Features and labels of a bounded sample of docs with a label, by a hash of the id; repeated labels of a document count by their mean, rounded, and of rows with one id the smallest text."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("_y"))
-    n = known.count()
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("labels")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE_LABELS / max(n, 1))) + 1)
+def _totals(known: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of known, by part(x, y): `size` whole numbers for a batch of rows. They are added without rounding, so the order of rows does not matter."""
 
     def run(batches):
-        for batch, data, offsets in chunks(batches, "text"):
-            x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        total = [0] * size
+        for batch in batches:
+            if batch.num_rows:
+                total = [t + int(v) for t, v in zip(total, part(_matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(float)))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([Decimal(t) for t in total], pa.decimal128(38, 0))], names=["k", "v"])
+
+    sums = known.select("y", "x").transform(mapped, run, "k int, v decimal(38,0)").groupBy("k").agg(F.sum("v").alias("v"))
+    out = np.zeros(size)
+    for r in sums.collect():
+        out[r["k"]] = float(r["v"])
+    return out
+
+
+def fit(known: DataFrame, ridge: float = 1.0) -> tuple[TextModel, int, int]:
+    """Ridge logistic regression by Newton's method on all rows of known (doc_id, y, x); also how many rows there are, and how many are good. With labels of one kind, or none, all weights are 0."""
+    d = len(features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).T)
+    sums = _totals(known, 2 * d + 2, lambda x, y: np.concatenate([np.rint(x * 2.0**32).sum(axis=0), np.rint(x**2 * 2.0**32).sum(axis=0), [len(y), y.sum()]]))
+    n, good = int(sums[-2]), int(sums[-1])
+    prior = (good + 1) / (n + 2)
+    flat = TextModel(np.zeros(d), np.ones(d), np.zeros(d), float(np.log(prior / (1 - prior))), prior)
+    if good in (0, n):
+        return flat, n, good
+    mean = sums[:d] / 2.0**32 / n
+    scale = np.sqrt(np.maximum(sums[d : 2 * d] / 2.0**32 / n - mean**2, 1e-8))
+    w, penalty, upper = np.zeros(d + 1), np.append(np.full(d, ridge), 1e-6), np.triu_indices(d + 1)
+    for _ in range(30):
 
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(known, "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # one of each id
-    rows = texts.select("doc_id", "text", "_y").transform(mapped, run, "doc_id long, y int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]))
-    return x, np.array([r["y"] for r in rows], float), [r["doc_id"] for r in rows]
+        def part(x: np.ndarray, y: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            z = np.concatenate([_units(x, mean, scale), np.full((len(x), 1), 1024.0)], axis=1)
+            p = 1 / (1 + np.exp(-np.clip(z / 1024 @ w, -30, 30)))
+            return np.concatenate([((z * np.rint(p * (1 - p) * 2.0**16)[:, None]).T @ z)[upper], z.T @ np.rint((y - p) * 2.0**26)])
+
+        sums = _totals(known, len(upper[0]) + d + 1, part)
+        bend = np.zeros((d + 1, d + 1))
+        bend[upper] = sums[: -d - 1] / 2.0**36
+        bend = np.triu(bend) + np.triu(bend, 1).T
+        step = np.linalg.solve(bend + np.diag(penalty), sums[-d - 1 :] / 2.0**36 - penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return TextModel(mean, scale, w[:-1], float(w[-1]), prior), n, good
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, y and x of every document of rows with a text and a label; repeated labels of a document count by their mean, rounded, and of rows with one id the smallest features."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
+    one = rows.where("has_text AND doc_id IS NOT NULL").select("doc_id", "x").join(known.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x"))
+    return one.join(known, "doc_id").select("doc_id", "y", "x")
 
 
 _URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?(?:/([^/?#]*)(?=/))?"
@@ -120,14 +148,25 @@ def host_and_path(site: Column) -> tuple[Column, Column]:
     return F.coalesce(F.lower(part(1)), site), part(2)
 
 
-def _text_evidence(docs: DataFrame, model: TextModel, site: str) -> DataFrame:
+def _text_features(docs: DataFrame, site: str) -> DataFrame:
     def run(batches):
         for batch, data, offsets in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(model.logits(features(data, offsets)))], names=["doc_id", "host", "path", "logit"])
+            x = features(data, offsets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column("text").is_valid(), lists], names=["doc_id", "host", "path", "has_text", "x"])
 
     host, path = host_and_path(F.col(f"`{site}`").cast("string"))
     rows = docs.select("doc_id", host.alias("host"), path.alias("path"), "text")
-    return rows.transform(mapped, run, "doc_id long, host string, path string, logit double")
+    return rows.transform(mapped, run, "doc_id long, host string, path string, has_text boolean, x array<double>")
+
+
+def _text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            logits = model.logits(_matrix(batch.column(3))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(logits)], names=["doc_id", "host", "path", "logit"])
+
+    return rows.select("doc_id", "host", "path", "x").transform(mapped, run, "doc_id long, host string, path string, logit double")
 
 
 def _strength(sites: DataFrame, mean: float) -> float:
@@ -145,15 +184,17 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, site: str = "
 
     site: a URL, or else the name of a host; see host_and_path(). text_p: the text model's probability of good; host_p,
     path_p: the levels of its host and path, without the document itself (where there is no path, path_p is host_p);
-    posterior: of all together. keep: posterior is at least the threshold, which lets go LOST_GOOD of the sampled
+    posterior: of all together. keep: posterior is at least the threshold, which lets go LOST_GOOD of all
     documents labelled good at most, and is 0.5 at most; equal posteriors are decided alike. Null text: as the empty one.
     Null site: a host of its own. Without labels, all are kept. No rows: no rows. Other columns are dropped.
     """
-    x, y, ids = labelled(docs, labels)
-    model = fit(x, y)
     scratch = Scratch(spark, "quality")
+    seen = scratch.table(_text_features(docs, site))
+    known = scratch.table(labelled(seen, labels))
+    model, n, n_good = fit(known)
     p = 1 / (1 + F.exp(-F.col("logit")))
-    rows = scratch.table(_text_evidence(docs, model, site).withColumn("p", p))
+    rows = scratch.table(_text_evidence(seen, model).withColumn("p", p))
+    scratch.drop(seen)
     sites = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.greatest(F.sum(F.col("p") ** 2) - F.sum("p") ** 2 / F.count("*"), F.lit(0.0)).alias("within"), F.sum(F.col("p") ** 2).alias("q"))
     sites = scratch.table(sites)
     hosts = sites.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.greatest(F.sum("q") - F.sum("s") ** 2 / F.sum("n"), F.lit(0.0)).alias("within"))
@@ -171,17 +212,32 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, site: str = "
     logit = lambda c: F.log(c / (1 - c))
     out = out.select("doc_id", "logit", F.col("p").alias("text_p"), inside(host_p).alias("host_p"), inside(path_p).alias("path_p"))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.col("logit") + logit(F.col("path_p")) - float(np.log(mean / (1 - mean)))))))
-    return out.withColumn("keep", F.col("posterior") >= _threshold(spark, out, ids, y)).drop("logit")
-
-
-def _threshold(spark: SparkSession, scored: DataFrame, ids: list, y: np.ndarray) -> float:
-    good = sorted({i for i, v in zip(ids, y) if v == 1})
-    if not good or y.min() == 1:
-        return 0.0
-    sampled = spark.createDataFrame([(i,) for i in good], "doc_id long")  # SAMPLE_LABELS rows at most
-    lowest = scored.join(F.broadcast(sampled), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("posterior").alias("posterior"))  # rows may repeat an id
-    values = sorted(r["posterior"] for r in lowest.collect())
-    return min(0.5, values[int(len(values) * LOST_GOOD)] if values else 0.0)
+    threshold = _threshold(scratch, out, known.where("y = 1").select("doc_id"), n_good) if 0 < n_good < n else 0.0
+    return out.withColumn("keep", F.col("posterior") >= threshold).drop("logit")
+
+
+def _threshold(scratch: Scratch, scored: DataFrame, good: DataFrame, n: int) -> float:
+    """The posterior of rank n * LOST_GOOD among all n good documents, 0.5 at most."""
+    good = scratch.table(good)
+    if small(good, BROADCAST_SITES):
+        good = F.broadcast(good)
+    lowest = scratch.table(scored.join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("posterior").alias("v")).select("v"))  # rows may repeat an id
+    return min(0.5, _of_rank(lowest, int(n * LOST_GOOD)))
+
+
+def _of_rank(values: DataFrame, rank: int) -> float:
+    """The value (column v) that `rank` rows come before in ascending order, exact. The driver gets PICKED rows at most."""
+    r = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    n, low, high = r["n"], r["low"], r["high"]
+    while low < high and n > PICKED:
+        values = values.where(F.col("v").between(low, high))
+        part = F.floor((F.col("v") - F.lit(low)) / F.lit(high - low) * PARTS)  # low and high are in different parts
+        for r in sorted(values.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect(), key=lambda r: r["part"]):
+            if rank < r["n"]:
+                n, low, high = r["n"], r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low if low == high else sorted(r["v"] for r in values.where(F.col("v").between(low, high)).collect())[rank]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, site: str = "source") -> DataFrame:

@@ -191,6 +191,39 @@ def test_posteriors_by_hand(spark):
     assert len({r["posterior"] for r in quality.score(spark, known, labels).collect()}) == 1
 
 
+def test_quality_is_fitted_on_every_label(spark):
+    """Model and threshold of 20 000 labelled documents, against numpy on all of them at once."""
+    import numpy as np
+
+    rng = random.Random(8)
+    words = lambda n, junk: " ".join(rng.choice(["%%%", "Buy!!", "###", "win$"]) if rng.random() < junk else rng.choice(["plain", "words", "stand", "here"]) for _ in range(n))
+    y = np.array([rng.random() < 0.7 for _ in range(20_000)], float)
+    texts = [words(rng.randint(4, 12), 0.15 if good else 0.35) for good in y]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.score(spark, docs, labels).collect()}
+    raw = [t.encode() for t in texts]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    z = np.concatenate([np.clip((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-4), -8, 8), np.ones((len(x), 1))], axis=1)
+    w, penalty = np.zeros(z.shape[1]), np.append(np.ones(x.shape[1]), 1e-6)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+    p = 1 / (1 + np.exp(-z @ w))
+    assert max(abs(got[i]["text_p"] - p[i]) for i in range(len(p))) < 2e-3
+    good = sorted(got[i]["posterior"] for i in range(len(y)) if y[i])
+    cut = good[int(len(good) * quality.LOST_GOOD)]
+    assert 0 < cut < 0.5 and good[0] < cut and all(r["keep"] == (r["posterior"] >= cut) for r in got.values())
+
+
+def test_value_of_a_rank(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PICKED", 3)
+    monkeypatch.setattr(quality, "PARTS", 4)
+    values = [0.5] * 9 + [0.1, 0.1, 0.2, 1e-9, 0.9, 0.90000001, 1.0, 0.3]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [quality._of_rank(table, i) for i in range(len(values))] == sorted(values)
+
+
 def test_quality_of_odd_documents(spark):
     labels = spark.createDataFrame([(3, 1), (3, None), (4, 0), (None, 1), (99, 1)], "doc_id long, quality int")
     docs = odd_docs(spark)
