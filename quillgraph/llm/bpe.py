@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
-from quillgraph.llm.textbytes import mapped
+from quillgraph.llm.textbytes import chunks, mapped
 
 CACHED_WORDS = 150_000
-TEXTS_AT_ONCE = 512
+#: Texts are encoded together up to about so many bytes (one text at least): all their words are held at once.
+BYTES_AT_ONCE = 1 << 18
 #: Words of at most so many bytes are encoded together.
 SHORT = 32
 _NONE = np.int64(1 << 40)
@@ -309,9 +310,12 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", vocabul
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            texts = [c.decode(x or []) for x in batch.column(place[ids]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
+        try:
+            for batch in batches:
+                texts = [c.decode(x or []) for x in batch.column(place[ids]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], pa.array(texts, pa.string())], names=[*rest, text])
+        finally:
+            codec.cache_clear()
 
     return df.toDF(*place.values()).transform(mapped, run, schema)
 
@@ -336,12 +340,12 @@ def _map(docs: DataFrame, text: str, columns: dict[str, pa.DataType], added: str
 
     def run(batches):
         c = codec(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
+        try:
+            for batch, _, _ in chunks(batches, place[text], BYTES_AT_ONCE):
                 found = [row(f) for f in c.encode_texts([t or "" for t in batch.column(place[text]).to_pylist()])]
                 new = [pa.array(list(x), kind) for x, kind in zip(zip(*found), columns.values())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(place[k]) for k in rest], *new], names=[*rest, *columns])
-        c.cache.clear()
+        finally:
+            codec.cache_clear()  # idle workers live on beside those of other stages; it is built again in less than a second
 
     return docs.toDF(*place.values()).select(*used).transform(mapped, run, schema)

@@ -191,6 +191,25 @@ def test_posteriors_by_hand(spark):
     assert len({r["posterior"] for r in quality.score(spark, known, labels).collect()}) == 1
 
 
+def test_encoding_is_bounded_in_memory(spark, monkeypatch):
+    """Texts are encoded in pieces of bounded bytes, all of them in order, and a worker keeps no vocabulary when its task ends."""
+    import pyarrow as pa
+
+    runs, sizes = [], []
+    monkeypatch.setattr(bpe, "mapped", lambda df, run, schema: runs.append(run) or df)
+    encode = bpe.Codec.encode_texts
+    monkeypatch.setattr(bpe.Codec, "encode_texts", lambda self, texts: sizes.append([len(t) for t in texts]) or encode(self, texts))
+    bpe.digests(spark.createDataFrame([(1, "")], "doc_id long, text string"))
+    texts = ["word " * (i * 40) for i in range(100)] + [None, "long " * 100_000, None, "", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], names=["c1", "c0"])
+    out = pa.Table.from_batches(list(runs[0](iter([batch, batch.slice(0, 0)]))))
+    assert out["doc_id"].to_pylist() == list(range(len(texts))) and [n for x in sizes for n in x] == [len(t or "") for t in texts]
+    assert len(sizes) > 3 and all(sum(x) <= 1 << 18 or len(x) == 1 for x in sizes)
+    assert bpe.codec.cache_info().currsize == 0
+    codec = bpe.codec(bpe.default_vocabulary())
+    assert out["n_tokens"].to_pylist() == [codec.encode_texts([t or ""])[0][1] for t in texts]
+
+
 def test_quality_is_fitted_on_every_label(spark):
     """Model and threshold of 20 000 labelled documents, against numpy on all of them at once."""
     import numpy as np
