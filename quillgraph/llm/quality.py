@@ -133,9 +133,9 @@ def fit(known: DataFrame, ridge: float = 1.0) -> tuple[TextModel, int, int]:
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, y and x of every document of rows with a text and a label; repeated labels of a document count by their mean, rounded, and of rows with one id the smallest features."""
+    """doc_id, y and x of every document of rows with a label; repeated labels of a document count by their mean, rounded, and of rows with one id the smallest features, of those with a text if there are any. A null text counts as the empty one."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
-    one = rows.where("has_text AND doc_id IS NOT NULL").select("doc_id", "x").join(known.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x"))
+    one = rows.where("doc_id IS NOT NULL").select("doc_id", "has_text", "x").join(known.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(~F.col("has_text"), "x"))["x"].alias("x"))
     return one.join(known, "doc_id").select("doc_id", "y", "x")
 
 

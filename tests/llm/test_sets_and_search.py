@@ -445,6 +445,20 @@ def test_pipeline_keeps_good_documents_by_every_label(spark, tmp_path):
     assert cut < 0.5 and kept == {r["doc_id"] for r in scored if r["posterior"] >= cut}
 
 
+def test_pipeline_counts_labels_of_null_texts(spark, tmp_path):
+    """The quality stage fits and cuts by labels of null texts too, as of empty ones: of all good documents it loses LOST_GOOD at most."""
+    texts = ["plain words " * (20 + i % 30) if i % 4 else "plain win$ " * (1 + i % 3) for i in range(400)]
+    nulls = [None if i % 10 == 1 else t for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1 if i % 4 or i % 10 == 1 else 0) for i in range(400)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [{r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs_of(spark, t), str(tmp_path)).collect()} for t in (nulls, [t or "" for t in nulls])]
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    assert kept[0] == kept[1] and len(good - kept[0]) <= len(good) * quality.LOST_GOOD and len(kept[0]) < 400
+    both = docs_of(spark, texts).unionAll(docs_of(spark, [None] * 400))  # a text goes before a null of its id
+    a, b = ({(r["doc_id"], r["y"], tuple(r["x"])) for r in quality.labelled(quality._text_features(d, "source"), labels).collect()} for d in (docs_of(spark, texts), both))
+    assert a == b
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     docs = docs_of(spark, ["", None, "a b c", "a b c", "x " * 2000]).unionAll(docs_of(spark, ["nobody"], None))
     spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
