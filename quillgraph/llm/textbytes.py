@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+
+from quillgraph.functions.batches import BATCH_ROWS, lean, mapped  # noqa: F401  for the operators
 
 U = np.uint64
-#: Texts are worked on in pieces of about so many bytes, and reach Python in batches of so many rows at most.
-CHUNK_BYTES, BATCH_ROWS = 1 << 19, 1000
+#: Texts are worked on in pieces of about so many bytes.
+CHUNK_BYTES = 1 << 19
 #: Words of a longer text are found in pieces of about so many bytes.
 SEGMENT_BYTES = 1 << 22
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,29 +69,6 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def lean(run):
-    """run, a function for mapInArrow, giving memory that it no longer needs back to the system when a task ends: workers live on for other tasks."""
-
-    def wrapped(batches):
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                with contextlib.suppress(OSError, AttributeError):  # another C library
-                    ctypes.CDLL(None).malloc_trim(0)
-
-    return wrapped
-
-
-def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) in small batches, for df.transform(): texts are long, and a task holds a batch of them several times over. The session keeps the smaller size."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(lean(run), schema)
-
-
 def chunks(batches, column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of Arrow batches of about `limit` bytes of text (one text at least), each with its bytes and offsets."""
     for batch in batches:

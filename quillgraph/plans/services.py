@@ -13,6 +13,7 @@ from collections import Counter, deque
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import chain
 from threading import Lock
 from typing import Any, Protocol
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from quillgraph.functions.batches import mapped, packed, pieces
 from quillgraph.functions.repair import read_json
 from quillgraph.plans import prompts
 
@@ -242,9 +244,10 @@ class RuleExtractor:
         relations = []
         for sentence in re.split(r"[.!?\n]+", text):
             names = list(dict.fromkeys(m[0].strip().upper() for m in _NAME.finditer(sentence)))
+            said = sentence.strip()  # held once, by all that it is about
             for n in names:
-                entities.setdefault(n, sentence.strip())
-            relations += [(a, b, sentence.strip()) for a, b in zip(names, names[1:])]
+                entities.setdefault(n, said)
+            relations += [(a, b, said) for a, b in zip(names, names[1:])]
         return [(n, "PHRASE", d) for n, d in entities.items()], relations
 
     def question(self, text: str) -> tuple[list[str], list[str]]:
@@ -294,12 +297,12 @@ def embed(texts: DataFrame, embedder: Embedder, column: str = "text", limits: Li
         calls = Calls(limits)
         for whole in batches:
             parts = [whole.slice(at, limits.batch) for at in range(0, whole.num_rows, limits.batch)]
-            for part, vectors in zip(parts, calls.each(checked, [[t or "" for t in p.column(column).to_pylist()] for p in parts])):
+            for part, vectors in zip(parts, calls.each(checked, ([t or "" for t in p.column(column).to_pylist()] for p in parts))):
                 if isinstance(vectors, Exception):
                     raise vectors
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(vectors), pa.list_(pa.float32()))], names=[*part.schema.names, "embedding"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.transform(mapped, run, schema)
 
 
 _MENTIONS = "doc_id long, chunk_id long, pos int, n int, kind string, a string, b string, description string, error string"
@@ -314,20 +317,22 @@ def extract(chunks: DataFrame, extractor: Extractor, limits: Limits | None = Non
 
     def run(batches):
         calls = Calls(limits)
-        for batch in batches:
-            rows = []
+
+        def rows(batch):
             keys = zip(*[batch.column(c).to_pylist() for c in ("doc_id", "id", "pos")])
             for key, found in zip(keys, calls.each(extractor.subgraph, batch.column("content").to_pylist())):
                 if isinstance(found, Exception):
-                    rows.append((*key, 0, "failed", None, None, None, repr(found)))
+                    yield *key, 0, "failed", None, None, None, repr(found)
                     continue
-                both = [("entity", n, t, d) for n, t, d in found[0]] + [("relation", s, t, d) for s, t, d in found[1]]
-                rows += [(*key, i, kind, a.upper(), b.upper(), d, None) for i, (kind, a, b, d) in enumerate(both)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5]
-            columns = list(zip(*rows)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "chunk_id", "pos", "n", "kind", "a", "b", "description", "error"])
+                both = chain((("entity", *e) for e in found[0]), (("relation", *r) for r in found[1]))
+                for i, (kind, a, b, d) in enumerate(both):
+                    yield *key, i, kind, a.upper(), b.upper(), d, None
+
+        names = ["doc_id", "chunk_id", "pos", "n", "kind", "a", "b", "description", "error"]
+        for batch in pieces(batches, "content"):
+            yield from packed(rows(batch), names, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5])
 
-    return chunks.select("doc_id", "id", "pos", "content").mapInArrow(run, _MENTIONS)
+    return chunks.select("doc_id", "id", "pos", "content").transform(mapped, run, _MENTIONS)
 
 
 def whole_documents(mentions: DataFrame) -> DataFrame:
@@ -342,13 +347,13 @@ def ask_entities(questions: DataFrame, extractor: Extractor, limits: Limits | No
 
     def run(batches):
         calls = Calls(limits)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             found = list(calls.each(extractor.question, [t or "" for t in batch.column("text").to_pylist()]))
             if bad := next((f for f in found if isinstance(f, Exception)), None):
                 raise bad
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("text"), pa.array([[n.upper() for n in f[0]] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=["query_id", "text", "named", "generic"])
 
-    return questions.select("query_id", "text").mapInArrow(run, "query_id long, text string, named array<string>, generic array<string>")
+    return questions.select("query_id", "text").transform(mapped, run, "query_id long, text string, named array<string>, generic array<string>")
 
 
 def replaced(rows: DataFrame, column: str, call: Callable[..., str], inputs: list[str], limits: Limits | None = None, failed: str | None = None) -> DataFrame:
@@ -373,4 +378,4 @@ def replaced(rows: DataFrame, column: str, call: Callable[..., str], inputs: lis
                     out[i] = text
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(out, pa.string())], names=[*rest, column])
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(mapped, run, schema)
