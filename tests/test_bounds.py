@@ -2,7 +2,8 @@
 
 import pyarrow as pa
 
-from quillgraph.functions.batches import OUT_LETTERS, OUT_ROWS, packed, pieces
+from quillgraph.functions.batches import OUT_LETTERS, OUT_ROWS, PIECE_BYTES, packed, pieces
+from quillgraph.operators import chunking
 from quillgraph.plans import services
 
 
@@ -10,6 +11,7 @@ class Frame:
     """Stands for a DataFrame: run is the function that its tasks would run."""
 
     sparkSession = conf = property(lambda self: self)
+    columns, schema = ["doc_id", "text"], None
 
     def get(self, *_):
         return "1000"
@@ -17,6 +19,8 @@ class Frame:
     def select(self, *_):
         return self
 
+    where = unionByName = select
+
     def transform(self, f, *rest):
         return f(self, *rest)
 
@@ -41,3 +45,11 @@ def test_pieces_and_packs():
     assert [p.column("t").to_pylist() for p in pieces([batch, batch.slice(0, 0)], "t", 10)] == [["aaaa", None, "é"], ["b" * 20], ["", "c" * 9], ["cc"]]
     assert [b.num_rows for b in packed([(1, "aaaa"), (2, None), (3, "b" * 20), (4, "c")], ["n", "t"], [pa.int64(), pa.string()], 2, 10)] == [2, 1, 1]
     assert list(packed([], ["n"], [pa.int64()])) == []
+
+
+def test_texts_are_cut_a_few_at_a_time(spark):
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [f"{i}. " + "A sentence of seven words stands here. " * 4000 for i in range(40)]})
+    out = list(chunking.chunk(Frame()).run(iter([whole])))
+    assert max(b.nbytes for b in out) <= 2 * PIECE_BYTES
+    want = [(i, k, c) for i, t in enumerate(whole.column("text").to_pylist()) for k, c in enumerate(chunking.split_text(t))]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
