@@ -16,6 +16,8 @@ from quillgraph.sources.scratch import Scratch, small
 DAMPING = 0.85
 #: Graphs of at most so many relations (and BROADCAST_BYTES) are sent to all tasks, which solve questions of their own in numpy; larger ones are solved by joins.
 LOCAL_EDGES = 500_000
+#: In each round of those joins a number for each question is broadcast, if there are so many questions at most.
+LOCAL_QUESTIONS = 50_000
 
 
 def entity_relations(relations: DataFrame) -> DataFrame:
@@ -70,6 +72,11 @@ def _both_ways(relations: DataFrame) -> DataFrame:
     return pairs.join(degree, "u").select("u", "v", (F.col("n") / F.col("d")).alias("w"))
 
 
+def _sorted_join(side: DataFrame) -> DataFrame:
+    """A side that is never broadcast: in each of many rounds it would pass through the driver."""
+    return side.hint("merge")
+
+
 _SCORED = "query_id long, idx string, score double"
 
 
@@ -124,13 +131,14 @@ def personalized_pagerank(relations: DataFrame, seeds: DataFrame, rounds: int =
         shared = scratch.spark.sparkContext.broadcast((names, index[: len(ends[0])].astype(np.int32), index[len(ends[0]) :].astype(np.int32), table.column("w").to_numpy()))
         asked = seeds.select("query_id", "name", F.col("weight").cast("double")).repartition(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), "query_id").sortWithinPartitions("query_id")
         return asked.mapInArrow(_solve(shared, rounds, damping), _SCORED)
-    total = seeds.groupBy("query_id").agg(F.sum("weight").alias("total"))
+    total = scratch.table(seeds.groupBy("query_id").agg(F.sum("weight").alias("total")))
+    by_question = F.broadcast if small(total, LOCAL_QUESTIONS) else _sorted_join
     reset = scratch.table(seeds.groupBy("query_id", "name").agg(F.sum("weight").alias("w0")).join(total, "query_id").select("query_id", F.col("name").alias("idx"), (F.col("w0") / F.col("total")).alias("r")))
     p = reset.withColumnRenamed("r", "score")
     for i in range(rounds):
-        moved = p.join(links, p["idx"] == links["u"]).groupBy("query_id", "v").agg(F.sum(F.col("score") * F.col("w")).alias("score"))
+        moved = _sorted_join(p).join(_sorted_join(links), p["idx"] == links["u"]).groupBy("query_id", "v").agg(F.sum(F.col("score") * F.col("w")).alias("score"))
         moved = scratch.table(moved.select("query_id", F.col("v").alias("idx"), (F.col("score") * damping).alias("score")))
-        left = reset.join(moved.groupBy("query_id").agg(F.sum("score").alias("gone")), "query_id", "left").select("query_id", "idx", ((1 - F.coalesce("gone", F.lit(0.0))) * F.col("r")).alias("score"))
+        left = reset.join(by_question(moved.groupBy("query_id").agg(F.sum("score").alias("gone"))), "query_id", "left").select("query_id", "idx", ((1 - F.coalesce("gone", F.lit(0.0))) * F.col("r")).alias("score"))
         p = moved.unionAll(left).groupBy("query_id", "idx").agg(F.sum("score").alias("score"))
         if i % 4 == 3:
             p = scratch.table(p)

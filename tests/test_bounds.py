@@ -1,10 +1,13 @@
 """What a task holds, and what reaches the driver, doesn't grow with the input."""
 
+import re
+
 import pyarrow as pa
 
 from quillgraph.functions.batches import OUT_LETTERS, OUT_ROWS, PIECE_BYTES, packed, pieces
-from quillgraph.operators import chunking
+from quillgraph.operators import chunking, graph
 from quillgraph.plans import services
+from quillgraph.sources.scratch import Scratch
 
 
 class Frame:
@@ -53,3 +56,13 @@ def test_texts_are_cut_a_few_at_a_time(spark):
     assert max(b.nbytes for b in out) <= 2 * PIECE_BYTES
     want = [(i, k, c) for i, t in enumerate(whole.column("text").to_pylist()) for k, c in enumerate(chunking.split_text(t))]
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+
+
+def test_rounds_of_pagerank_broadcast_neither_masses_nor_links(spark, monkeypatch):
+    plans, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(self, df))
+    relations = spark.createDataFrame([(i, f"E{i}", f"E{i * 7 % 20}", "", []) for i in range(40)], "edge_id long, source string, target string, description string, chunks array<long>")
+    seeds = spark.createDataFrame([(1, "E3", 1.0), (2, "E5", 2.0)], "query_id long, name string, weight double")
+    graph.personalized_pagerank(relations, seeds, 3, local_edges=0)
+    joins = [j for p in plans for j in re.findall(r"(\w+Join) \[idx#\d+\], \[u#\d+\]", p)]
+    assert joins == ["SortMergeJoin"] * 3
