@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.batches import mapped, packed
 from quillgraph.operators.graph import not_adjacent
 from quillgraph.operators.vector import knn
 
@@ -92,21 +93,37 @@ def merge_edges(new: DataFrame, stored: DataFrame, grouper: Callable[[list[str]]
     rows = stored.select(*columns, F.lit(0).alias("_new")).unionByName(new.select(*columns, F.lit(1).alias("_new")))
     pair = Window.partitionBy("source", "target")
     rows = rows.withColumn("_merge", (F.count("*").over(pair) > threshold) & (F.max("_new").over(pair) == 1))
+    if grouper is same_description:
+        return _one_of_each_description(rows)
     grouped = rows.where("_merge").groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("_new", "edge_id", "description", "chunks"))).alias("e"))
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())]
+
+    def merged_rows(batch):
+        for source, target, edges in (map(lambda x: x.as_py(), row) for row in zip(*[batch.column(c) for c in ("source", "target", "e")])):
+            for e in apply_groups(edges, grouper([x["description"] for x in edges])):
+                yield e["edge_id"], source, target, e["description"], e["chunks"]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for source, target, edges in zip(*[batch.column(c).to_pylist() for c in ("source", "target", "e")]):
-                for e in apply_groups(edges, grouper([x["description"] for x in edges])):
-                    out.append((e["edge_id"], source, target, e["description"], e["chunks"]))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=columns)
-
-    merged = grouped.mapInArrow(run, "edge_id long, source string, target string, description string, chunks array<long>")
+            yield from packed(merged_rows(batch), columns, kinds)
+
+    merged = grouped.transform(mapped, run, "edge_id long, source string, target string, description string, chunks array<long>")
     return rows.where("NOT _merge").select(columns).unionByName(merged)
 
 
+def _one_of_each_description(rows: DataFrame) -> DataFrame:
+    """What merge_edges() makes of rows (edges, _new, _merge) by same_description(): no edge of it passes through Python.
+
+    Of a merged pair's edges with one description the first stays, with all their chunks; an edge of its own keeps its
+    chunks as they are, and so do all edges of other pairs.
+    """
+    alone = F.when(~F.col("_merge"), F.monotonically_increasing_id())
+    first = F.min(F.struct("_new", "edge_id", "chunks")).alias("_first")
+    groups = rows.withColumn("_alone", alone).groupBy("source", "target", "description", "_alone").agg(first, F.count("*").alias("_n"), F.flatten(F.collect_list("chunks")).alias("_all"))
+    chunks = F.when(F.col("_n") > 1, F.array_sort(F.array_distinct("_all"))).otherwise(F.col("_first.chunks"))
+    return groups.select(F.col("_first.edge_id").alias("edge_id"), "source", "target", "description", chunks.alias("chunks"))
+
+
 def identity_edges(vectors: DataFrame, relations: DataFrame, k: int = 3, least: float = 0.9, fresh: DataFrame | None = None, search: Callable = knn) -> DataFrame:
     """vectors (id, name, embedding) -> source, target, description "is", chunks []: each entity and those of its k nearest (itself one of them) that are alike, come later and aren't adjacent yet.
 

@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 
 from quillgraph.functions.batches import OUT_LETTERS, OUT_ROWS, PIECE_BYTES, packed, pieces
-from quillgraph.operators import chunking, graph
+from quillgraph.operators import chunking, graph, merge
 from quillgraph.plans import services
 from quillgraph.sources.scratch import Scratch
 
@@ -66,3 +66,17 @@ def test_rounds_of_pagerank_broadcast_neither_masses_nor_links(spark, monkeypatc
     graph.personalized_pagerank(relations, seeds, 3, local_edges=0)
     joins = [j for p in plans for j in re.findall(r"(\w+Join) \[idx#\d+\], \[u#\d+\]", p)]
     assert joins == ["SortMergeJoin"] * 3
+
+
+def test_edges_of_one_description_merge_without_python(spark):
+    kind = "edge_id long, source string, target string, description string, chunks array<long>"
+    stored = [(i, f"A{i % 3}", "B", [None, "x", "y"][i % 4 % 3], None if i % 5 == 0 else [i, i % 2, i]) for i in range(14)]
+    new = [(i // 2, f"A{i % 4}", None if i % 7 == 0 else "B", ["x", "y", "z", None][i % 9 % 4], [i, 3, 3]) for i in range(16)] + [(5, "A1", "B", "x", [9]), (5, "A1", "B", "x", [9]), (90, "C", "D", "alone", [7, 7, 1]), *[(91 + i, "C", "D", "both", None) for i in range(5)]]
+    quiet = [(200 + i, "Q", "R", "x", [i]) for i in range(9)]
+    new, stored = spark.createDataFrame(new, kind), spark.createDataFrame(stored + quiet, kind)
+    for threshold in (1, 5):
+        out = merge.merge_edges(new, stored, threshold=threshold)
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+        in_python = merge.merge_edges(new, stored, lambda d: merge.same_description(d), threshold)
+        assert sorted(map(repr, out.collect())) == sorted(map(repr, in_python.select(out.columns).collect()))
+        assert out.where("source = 'Q'").count() == 9
